@@ -105,10 +105,10 @@ def file_secrets(files: DataFrame, words: frozenset[str]) -> DataFrame:
     known = files.sparkSession.sparkContext.broadcast(words)
 
     def make():
-        w = known.value
+        w, triggers = known.value, secrets.automaton()
 
         def one(file_id, path, text):
-            return [("file", file_id, p) for p in {p for p, _, _ in secrets.find_secrets(text, secrets.is_plain(path), w)}]
+            return [("file", file_id, p) for p in {p for p, _, _ in secrets.find_secrets(text, secrets.is_plain(path), w, triggers)}]
 
         return one
 
@@ -120,10 +120,10 @@ def service_secrets(services: DataFrame, words: frozenset[str]) -> DataFrame:
     known = services.sparkSession.sparkContext.broadcast(words)
 
     def make():
-        w = known.value
+        w, triggers = known.value, secrets.automaton()
 
         def one(service_id, environment):
-            return [("docker", service_id, i) for i, e in enumerate(environment or [], 1) if secrets.find_secrets(e, True, w)]
+            return [("docker", service_id, i) for i, e in enumerate(environment or [], 1) if secrets.find_secrets(e, True, w, triggers)]
 
         return one
 
@@ -141,10 +141,10 @@ def redacted_files(files: DataFrame) -> DataFrame:
     known = files.sparkSession.sparkContext.broadcast(dictionary(files))
 
     def make():
-        w = known.value
+        w, triggers = known.value, secrets.automaton()
 
         def one(file_id, path, text):
-            found = secrets.find_secrets(text, secrets.is_plain(path), w)
+            found = secrets.find_secrets(text, secrets.is_plain(path), w, triggers)
             return [(file_id, secrets.redact(text, found))] if found else []
 
         return one
@@ -157,10 +157,10 @@ def redacted_services(services: DataFrame, files: DataFrame) -> DataFrame:
     known = services.sparkSession.sparkContext.broadcast(dictionary(files))
 
     def make():
-        w = known.value
+        w, triggers = known.value, secrets.automaton()
 
         def one(service_id, environment):
-            found = [secrets.find_secrets(e, True, w) for e in environment or []]
+            found = [secrets.find_secrets(e, True, w, triggers) for e in environment or []]
             return [(service_id, [secrets.redact(e, f) for e, f in zip(environment, found)])] if any(found) else []
 
         return one

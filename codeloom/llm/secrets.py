@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import string
+
+import ahocorasick
 
 #: What stands in a redacted copy instead of a secret.
 REDACTED = "[REDACTED]"
@@ -15,10 +18,12 @@ TOKENS = re.compile(
     r"|npm_[A-Za-z0-9]{36}|pypi-[\w-]{16,}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{64}|ya29\.[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9_/+-])"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>(?:\\[nr]|[\s\"'+#*,/>;\\-]){1,40}?[A-Za-z0-9+/=]{16}.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\Z)", re.S)
-TRIGGER = re.compile(
-    r"(?i)pass|pwd|secret|token|key|credential|creds|psk|auth|bearer|basic |login|signature|sig=|identified by|:[^\s/@:]{3,}@|AKIA|ASIA|AIza|gh[pousr]_|github_pat|glpat|[sr]k_|xox[abeoprs]-|npm_|pypi-|SG\.|hf_|dop_v1|ya29|eyJ|[A-Za-z0-9+/]{24,}={1,2}|-u "
-)
+# What a line with a credential holds at least one of, in lower case.
+TRIGGERS = (
+    "pass pwd secret token key cred psk auth bearer login signature sig= @ akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat sk_live sk_test rk_live rk_test xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- npm_ pypi- sg. hf_ dop_v1 ya29 eyj"
+).split() + ["basic ", "identified by", "-u ", '="', "='", "=`", "=\n", "code="]
 
+_FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _PLACE = re.compile(
     r"(?i)^(?:|\$.*|%.*|#.*|.*\$\{.*|.*\{\{.*|.*<[\w -]+>.*|\{.*\}|\[.*\]|@.*|[*•x.?_-]{3,}|.*\*{4,}.*|change[-_ ]?me.*|change[-_ ]?it|replace[-_ ]?.*|your[-_ ].*|my[-_]?(?:password|secret|token)|(?:example|sample|dummy|fake|test|todo|fixme|placeholder|redacted|masked|hidden|removed|none|null|nil|undefined|true|false|yes|no|on|off|empty|unset|default|auto|disabled|enabled|required|optional|password|passwd|secret|token)"
     r"|(?:vault|file|env|secret|secrets|ref\+?\w*|op|ssm|kms|aws|gcp|azure|keyring|arn|sops|akv|config)(?::|://).*|\d+(?:\.\d+)?(?:ms|us|ns|s|m|h|d|w|y|kb|mb|gb|k|%)?|sha\d+[-:].*|md5[-:].*|data:.*|(?:hs|rs|es|ps)\d{3}|(?:sha|aes|rsa|md)-?\d+(?:-\w+)*|(?:~|\.{1,2})/.*|/(?:run|etc|var|opt|usr|home|mnt|tmp|app|data|srv|secrets?|root|dev|proc|config|keys|certs?|ssl)/.*|process\.env.*|os\.environ.*|getenv.*|https?://[^@]*)$"
@@ -175,7 +180,23 @@ def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[in
     return out
 
 
-def find_secrets(text: str | None, plain: bool, words: frozenset[str]) -> list[tuple[int, int, int]]:
+def automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for t in TRIGGERS:
+        a.add_word(t, len(t))
+    a.make_automaton()
+    return a
+
+
+def _trigger_places(text: str, triggers: ahocorasick.Automaton):
+    low = text.lower()
+    if len(low) != len(text):  # a few letters are longer in lower case: only ASCII is folded then
+        low = text.translate(_FOLD)
+    for end, n in triggers.iter(low):
+        yield end - n + 1
+
+
+def find_secrets(text: str | None, plain: bool, words: frozenset[str], triggers: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(line from 1, start, end) of every secret in `text`; a private key over many lines counts at its BEGIN line."""
     if not text:
         return []
@@ -186,11 +207,11 @@ def find_secrets(text: str | None, plain: bool, words: frozenset[str]) -> list[t
             keys.append(m.span("body"))
             found.append((text.count("\n", 0, m.start()) + 1, *m.span("body")))
     line, counted, done = 1, 0, -1
-    for m in TRIGGER.finditer(text):
-        if m.start() < done:
+    for at in _trigger_places(text, triggers):
+        if at < done:
             continue
-        begin = text.rfind("\n", 0, m.start()) + 1
-        done = text.find("\n", m.start())
+        begin = text.rfind("\n", 0, at) + 1
+        done = text.find("\n", at)
         done = len(text) if done < 0 else done
         line += text.count("\n", counted, begin)
         counted = begin
