@@ -8,6 +8,7 @@ import itertools
 import os
 import re
 
+import numpy as np
 import regex
 
 # The published patterns that split text before the merges, for any text and for ASCII.
@@ -15,6 +16,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 #: Words whose ids a task remembers; beyond it the memory begins anew.
 REMEMBERED = 400_000
+#: Symbols beyond all ids: what stands after each word, and a place taken up by the symbol before it.
+WALL, TAKEN = 0xFFFF, 0xFFFE
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -39,81 +42,104 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.keys: dict[int, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}  # of each word in begins and sizes
+        self.begins, self.sizes, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @staticmethod
     def split(text: str) -> list[str]:
         return ASCII_PATTERN.findall(text) if text.isascii() else PATTERN.findall(text)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Replay the merges over `words`."""
-        ranks, pairs, bytes_of, single = self.ranks, self.pairs, self.bytes_of, self.single
-        sym: list[int] = []
-        ends: list[tuple[str, int]] = []
-        for w in words:
-            raw = w.encode("utf-8")
-            if (whole := ranks.get(raw)) is not None:
-                self.ids[w] = (whole,)
-                continue
-            sym += [single[b] for b in raw]
-            sym.append(-1)  # a wall between words
-            ends.append((w, len(sym) - 1))
+        ranks, keys, bytes_of = self.ranks, self.keys, self.bytes_of
+        raws = [w.encode("utf-8") for w in words]
+        ends = np.cumsum([len(r) + 1 for r in raws]) - 1
+        # all symbols in one row, a wall after each word
+        row = self.single[np.frombuffer(b"\0".join([*raws, b""]), np.uint8)]
+        row[ends] = WALL
+        pair = (row[:-1] << 16) | row[1:]
+        kinds, inverse = np.unique(pair, return_inverse=True)
+        get = keys.get
+
+        def key_of(k: int) -> int:
+            """Rank and symbols of a pair as one number that sorts by rank; 0 if it never merges."""
+            a, b = k >> 16, k & 0xFFFF
+            made = ranks.get(bytes_of[a] + bytes_of[b]) if a != WALL and b != WALL else None
+            key = keys[k] = 0 if made is None else (made << 32) | k
+            return key
+
+        order = np.argsort(inverse, kind="stable")
+        bounds = np.searchsorted(inverse[order], np.arange(len(kinds) + 1))
+        places: dict[int, list[int]] = {}
+        for x, k in enumerate(kinds.tolist()):
+            if (key := get(k)) is None:
+                key = key_of(k)
+            if key:
+                places[key] = order[bounds[x] : bounds[x + 1]].tolist()
+        heap = list(places)
+        heapq.heapify(heap)
+        push = heapq.heappush
+        sym = row.tolist()
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        heap: list[int] = []
-
-        def index(i: int, j: int) -> None:
-            a, b = sym[i], sym[j]
-            if a < 0 or b < 0:
-                return
-            made = pairs.get((a, b), 0)
-            if made == 0:
-                made = pairs[a, b] = ranks.get(bytes_of[a] + bytes_of[b])
-            if made is None:
-                return
-            at = places.get((made << 32) | (a << 16) | b)
-            if at is None:
-                places[(made << 32) | (a << 16) | b] = [i]
-                heapq.heappush(heap, (made << 32) | (a << 16) | b)
-            else:
-                at.append(i)
-
-        for i in range(n - 1):
-            index(i, i + 1)
         while heap:
-            key = heapq.heappop(heap)
-            made, a, b = key >> 32, (key >> 16) & 0xFFFF, key & 0xFFFF
-            for i in sorted(places.pop(key)):
+            top = heapq.heappop(heap)
+            made, a, b = top >> 32, (top >> 16) & 0xFFFF, top & 0xFFFF
+            left = made << 16
+            for i in sorted(places.pop(top)):
                 if sym[i] != a:
                     continue
                 j = after[i]
-                if j >= n or sym[j] != b:
+                if sym[j] != b:
                     continue
-                sym[i], sym[j] = made, -2  # -2: taken up by the symbol before
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    index(i, k)
-                if before[i] >= 0:
-                    index(before[i], i)
-        start = 0
-        for w, end in ends:
-            self.ids[w] = tuple(s for s in sym[start:end] if s >= 0)
-            start = end + 1
-
-    def encode_block(self, texts: list[str | None]) -> tuple[list[list[str]], list[int]]:
-        """The words of each text, all learnt, and the number of ids of each text."""
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
+                sym[i], sym[j] = made, TAKEN
+                k = after[i] = after[j]  # a wall ends every word, so there is always one
+                before[k] = i
+                pair_ = left | sym[k]
+                if (key := get(pair_)) is None:
+                    key = key_of(pair_)
+                if key:
+                    if (at := places.get(key)) is None:
+                        places[key] = [i]
+                        push(heap, key)
+                    else:
+                        at.append(i)
+                h = before[i]
+                if h >= 0:
+                    pair_ = (sym[h] << 16) | made
+                    if (key := get(pair_)) is None:
+                        key = key_of(pair_)
+                    if key:
+                        if (at := places.get(key)) is None:
+                            places[key] = [h]
+                            push(heap, key)
+                        else:
+                            at.append(h)
+        done = np.array(sym)
+        kept = done < TAKEN
+        upto = np.cumsum(kept)[ends]
+        sizes = np.diff(upto, prepend=0)
+        known = len(self.places)
+        self.places.update(zip(words, range(known, known + len(words))))
+        self.begins = np.concatenate((self.begins, len(self.values) + upto - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.values = np.concatenate((self.values, done[kept].astype(np.int32)))
+
+    def encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, and where each text begins in it, then the end."""
+        if len(self.places) > REMEMBERED:
+            self.forget()
         split = [self.split(t) if t else [] for t in texts]
-        known = self.ids
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(self.places)
         if new:
-            self.learn(new)
-        return split, [sum(map(len, map(known.__getitem__, words))) for words in split]
-
-    def flat(self, split: list[list[str]]):
-        return itertools.chain.from_iterable(map(self.ids.__getitem__, itertools.chain.from_iterable(split)))
+            self.learn(list(new))
+        words = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        sizes = self.sizes[words]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.values[np.repeat(self.begins[words] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import numpy as np
+
 _HEADING = re.compile(r"^(#{1,6})[ \t]+\S.*$", re.M)
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _BLANK = re.compile(r"\n[ \t\r]*\n\s*?(?=[ \t]*\S)")
@@ -43,11 +45,8 @@ def cut_tokens(text: str, starts: list[int], limit: int, overlap: int, whole_cha
     room, n = limit - overlap, len(starts) - 1
     fenced = [m.span() for m in _FENCE.finditer(text)]
     if not whole_chars:  # token starts count bytes
-        sizes, at = [], 0
-        for c in text:
-            sizes.append(at)
-            at += len(c.encode("utf-8"))
-        sizes.append(at)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = [0, *np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).tolist()]
         to_char = lambda t: bisect_left(sizes, starts[t])
         to_token = lambda c: bisect_left(starts, sizes[c])
         clean = lambda t: t <= 0 or t >= n or (raw[starts[t]] & 0xC0) != 0x80

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +41,10 @@ def token_ids(documents: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", fo
     ranks = _encoders(documents.sparkSession, tokenizer, folder)
 
     def run(batches):
-        import numpy as np
-
         e = Encoder(ranks.value)
         for b in _blocks(batches):
-            split, sizes = e.encode_block(b.column(1).to_pylist())
-            values = np.fromiter(e.flat(split), np.int32, sum(sizes))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            ids, begins = e.encode_block(b.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -70,17 +66,15 @@ def split_texts(documents: DataFrame, limit: int = 512, overlap: int = 32, token
 
     def run(batches):
         e = Encoder(ranks.value)
-        length = {i: len(b) for i, b in e.bytes_of.items()}
+        length = np.array([len(e.bytes_of.get(i, b"")) for i in range(max(e.bytes_of) + 1)], np.int64)
         for b in _blocks(batches):
             # a token has a byte at least, so a text of no more bytes needs no encoding
             rows = [(k, t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and (len(t) > limit or len(t.encode("utf-8")) > limit)]
-            split, sizes = e.encode_block([t for _, t in rows])
+            ids, begins = e.encode_block([t for _, t in rows])
             out = []
-            for (key, text), words, n in zip(rows, split, sizes):
-                if n <= limit:
-                    continue
-                ids = list(itertools.chain.from_iterable(map(e.ids.__getitem__, words)))
-                starts = [0, *itertools.accumulate(map(length.__getitem__, ids))]
+            for k in np.nonzero(np.diff(begins) > limit)[0].tolist():
+                key, text = rows[k]
+                starts = [0, *np.cumsum(length[ids[begins[k] : begins[k + 1]]]).tolist()]
                 ascii_, raw = text.isascii(), text.encode("utf-8")
                 cuts = cut_tokens(text, starts, limit, overlap, ascii_, raw)
                 for p in range(1, len(cuts)):
