@@ -59,6 +59,7 @@ _LIBRARY = re.compile(r"(?i)vendored from ([\w.-]+?)@|copyright the ([\w.-]+) au
 _WORD, _DIGITS, _LITERAL = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"0x[0-9a-fA-F]+|\d[\d.]*"), re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _DATA = re.compile(r"(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)(?:\s*,\s*(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)){7,}")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}){10,}")
+_EMBEDDED = re.compile(r"-----BEGIN [A-Z ]+-----.*?(?:-----END [A-Z ]+-----|\Z)|\bdata:[\w/+.-]+;base64,[A-Za-z0-9+/=]*", re.S)
 _RECORD = re.compile(r"^[ \t]*[(\[{].*[)\]}],?[ \t]*;?[ \t]*$", re.M)
 # What only tools write: the keys of their JSON, and directives that point at the true source.
 _TOOL_JSON = re.compile(r'\A\s*\{\s*"(?:generator|generatedBy|generated_by|lockfileVersion|_generated|__generated__)"\s*:|"lockfileVersion"\s*:')
@@ -114,7 +115,8 @@ def looks_data(text: str, extension: str) -> bool:
         return False
     if sum(len(m[0]) for m in _DATA.finditer(text)) > 0.5 * n:
         return True
-    if sum(len(m[0]) for m in _BLOB.finditer(text)) > 0.6 * n:
+    bare = _EMBEDDED.sub("", text)  # a key or an image within a file does not make it data
+    if len(bare) >= 400 and sum(len(m[0]) for m in _BLOB.finditer(bare)) > 0.6 * len(bare):
         return True
     if extension in RECORD_LANGUAGES:
         return False
@@ -170,6 +172,6 @@ def judge(text: str | None, path: str | None, parts: ahocorasick.Automaton) -> t
         return "data", library
     if looks_repeated(text, extension) or (_TOOL_JSON if extension == "json" else _LINE_DIRECTIVE).search(text):
         return "generated", library
-    if MINIFIED_NAMES.search(name) and ".min." in name:
+    if MINIFIED_NAMES.search(name) and (".min." in name or any(len(x) > 250 for x in text.split("\n"))):
         return "minified", library
     return None, library

@@ -37,23 +37,42 @@ CREDENTIAL = {"password", "passwd", "pwd", "passphrase", "passcode", "secret", "
 KEYS = {"api", "access", "private", "signing", "encryption", "secret", "master", "account", "shared", "auth", "service", "session", "ssh", "tls", "deploy", "license", "storage", "crypto", "hmac", "aes", "jwt", "webhook", "client", "app", "cipher", "integration", "subscription"}
 ABOUT = {"label", "hint", "type", "field", "name", "url", "uri", "path", "file", "ttl", "expiry", "expires", "expiration", "length", "min", "max", "count", "limit", "policy", "regex", "pattern", "placeholder", "title", "message", "error", "prompt", "column", "help", "text", "format", "algorithm", "public", "verify", "digest", "hash", "checksum", "integrity", "commit", "icon", "enabled", "required", "strength", "reset", "timeout", "prefix", "suffix", "ref", "arn", "version", "tokenizer", "tokens", "dir", "location", "rotation", "page", "next", "count"}
 BEFORE = {"public", "verify", "next", "page", "csrf", "xsrf", "has", "is", "no", "continuation", "cancellation", "cancel"}
-_GLUED = re.compile(r"password|passwd|passphrase|secret|apikey|accesskey|signingkey|encryptionkey|privatekey|authtoken|privatetoken|accesstoken|token|pwd(?:$|eu|old|main|prod|ro)|dbpass|smtppass")
+# What else stands in names written without separators, and in values that only speak of credentials.
+AFFIXES = {"key", "db", "smtp", "eu", "us", "main", "old", "new", "prod", "dev", "ro", "rw", "x"}
+SPOKEN = CREDENTIAL | KEYS | ABOUT | BEFORE | {"key", "keys", "bearer", "basic", "oauth", "enter", "code", "value", "data", "user", "username", "login", "store", "manager"}
+_GLUED = re.compile(r"password|passwd|passphrase|apikey|accesskey|signingkey|encryptionkey|privatekey|authtoken|privatetoken|accesstoken|clientsecret")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def credential_name(name: str) -> bool:
-    words = [w.lower() for w in _SPLIT.findall(name)]
-    if not words or words in (["authorization"], ["auth", "header"]):
-        return bool(words)
-    at = [i for i, w in enumerate(words) if w in CREDENTIAL or (w == "key" and i and words[i - 1] in KEYS) or (len(w) > 6 and _GLUED.search(w))]
-    return bool(at) and not any(w in ABOUT for w in words[at[-1] + 1 :]) and not any(w in BEFORE for w in words[: at[0]])
+def unglued(word: str, words: frozenset[str]) -> list[str] | None:
+    """A name without separators as words, the fewest that spell all of it (Viterbi); None if nothing does."""
+    n = len(word)
+    best: list[list[str] | None] = [[]] + [None] * n
+    for i in range(1, n + 1):
+        for j in range(max(0, i - 16), i):
+            part = word[j:i]
+            if best[j] is not None and (best[i] is None or len(best[j]) + 1 < len(best[i])) and (part in SPOKEN or part in AFFIXES or (i - j >= 4 and part in words)):
+                best[i] = [*best[j], part]
+    return best[n]
+
+
+def credential_name(name: str, words: frozenset[str] = frozenset()) -> bool:
+    """Whether a name says that its value is a credential, not something about one."""
+    parts: list[str] = []
+    for w in _SPLIT.findall(name):
+        w = w.lower()
+        parts += (w not in SPOKEN and len(w) > 5 and unglued(w, words)) or [w]
+    if not parts or parts in (["authorization"], ["auth", "header"]):
+        return bool(parts)
+    at = [i for i, w in enumerate(parts) if w in CREDENTIAL or (w == "key" and i and parts[i - 1] in KEYS) or _GLUED.search(w)]
+    return bool(at) and not any(w in ABOUT for w in parts[at[-1] + 1 :]) and not any(w in BEFORE for w in parts[: at[0]])
 
 
 def residual(text: str, words: frozenset[str]) -> int:
     """Characters that no dictionary word explains, by Viterbi over each run of letters.
 
     The cheapest reading of a run takes each letter either as part of a word of at
-    least four letters (a quarter a word) or as unexplained (one a letter). Digits
+    least four letters, of the dictionary or of the talk about credentials (a quarter a word) or as unexplained (one a letter). Digits
     and marks other than separators are never explained.
     """
     left = sum(1 for c in text if not (c.isalpha() or c in " -_./:"))
@@ -65,7 +84,7 @@ def residual(text: str, words: frozenset[str]) -> int:
         for i in range(1, n + 1):
             best[i], lost[i] = best[i - 1] + 1, lost[i - 1] + 1
             for j in range(max(0, i - 16), i - 3):
-                if best[j] + 0.25 < best[i] and run[j:i] in words:
+                if best[j] + 0.25 < best[i] and (run[j:i] in words or run[j:i] in SPOKEN):
                     best[i], lost[i] = best[j] + 0.25, lost[j]
         left += lost[n]
     return left
@@ -153,12 +172,12 @@ def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[in
     commented = bool(_COMMENTED.search(joined))
     for pattern in (ASSIGN, CALL):
         for m in pattern.finditer(joined):
-            if credential_name(m["name"]) and secret_value(m["v"], words) and not HEADER.match(m["v"]) and "-----BEGIN" not in m["v"] and "://" not in m["v"]:
+            if credential_name(m["name"], words) and secret_value(m["v"], words) and not HEADER.match(m["v"]) and "-----BEGIN" not in m["v"] and "://" not in m["v"]:
                 take(m)
-    if plain or commented:
+    if (plain or commented) and "-----BEGIN" not in joined:
         for pattern in (BARE, ENV):
             for m in pattern.finditer(joined):
-                if credential_name(m["name"]) and secret_value(m["v"], words, quoted=False) and "://" not in m["v"] and "-----BEGIN" not in m["v"]:
+                if credential_name(m["name"], words) and secret_value(m["v"], words, quoted=False) and "://" not in m["v"] and "-----BEGIN" not in m["v"]:
                     take(m)
         for m in SAID.finditer(joined):
             v = m["v"].rstrip(".,;)")

@@ -61,9 +61,10 @@ _HEADER, _PARENS = re.compile(r"c ?(?:k )?\([^()]*\)"), re.compile(r"\([^()]*\)"
 # Sequences of token classes that no sentence of the language holds. i: name, k: word of the
 # language, c: its header words, r: return or throw, 0: number, s: other literal, p: a pair of
 # parentheses and what is in it, C: a header with its parentheses.
-_ALL = r"i i i i|= ?[;)\]}]|(?<![+/])[+/%|^] ?[;)\]]|(?<!\.)\. ?[;)\]}]|, ?;|[({\[] ?;(?! ?[i0s;)])|\( ?,|[s0] [i0s]|c ?[;}=]|[=+*/%<>&|] ?\n?\Z|\A ?[)\]},]"
+_ALL = r"i i i i|= ?[;)\]}]|(?<![+/])[+/%|^] ?[;)\]]|(?<!\.)\. ?[;)\]}]|, ?;|[({\[] ?;(?! ?[i0s;)])|\( ?,|[s0] [i0s]|c ?[;}=]|i ip ?: ?(?:\n|\Z)|[=+*/%<>&|] ?\n?\Z|\A ?[)\]},]"
 _BAD = {
-    "js": _ALL + r"|i [i0s]|i ?: ?[ik](?: ?\[ ?\])? ?[,)=](?<!\n)(?=.*?\) ?\{)|p [i0s]|k (?:k )?i ?: ?[ik] ?=|(?<=\n)k i \{\n(?:i|k) ?: ?[ik];",
+    # type annotations are no JavaScript: in parameters, after them, of results
+    "js": _ALL + r"|i [i0s]|p [i0s]|\( ?(?:[^(){}\[\]?]*, ?)?i ?\?? ?: ?[iks]|p ?: ?[ik](?: ?\[ ?\])* ?\{",
     "ts": _ALL + r"|i [i0s]|(?<!@i)(?<!@i )p [i0s]",
     "java": _ALL + r"|i [0s]|i i i|[0s]\n[ik]|(?<!@i)(?<!@i )(?<=i)p\n[ir]|i ?:= ?",
     "cs": _ALL + r"|i [0s]|[0s]\n[ir]|(?<=i)p\n[ir]|i ?:= ?",
@@ -92,8 +93,6 @@ def classes(code: str, language: str) -> str:
 
 
 def _parse_c(text: str, language: str) -> str | None:
-    found: list[str] = []
-
     def literal(m):
         if m["c"] is not None:
             return "\n" if "\n" in m["c"] else " "
@@ -131,7 +130,14 @@ def _go(t: str, code: str) -> str | None:
     return None if re.match(r"\s*package\s+\w+\s*(?:;|\n|\Z)", code) or not code.strip() else "statement package"
 
 
-EXTRA = {"go": _go}
+_TYPED = re.compile(r"\b(?:const|let|var)\s+[\w$]+\s*:\s*[\w{\[(]|^[ \t]*(?:export\s+)?(?:declare\s+)?(?:interface\s+\w+[^\n;=]*\{|type\s+\w+(?:<[^>\n]*>)?\s*=)", re.M)
+
+
+def _js(t: str, code: str) -> str | None:
+    return "statement type" if _TYPED.search(code) else None
+
+
+EXTRA = {"go": _go, "js": _js}
 
 
 def _parse_python(text: str) -> str | None:
@@ -272,7 +278,7 @@ def _parse_yaml(text: str) -> str | None:
                 stack.append((at, "map"))
             rest = rest[m.end() :].strip()
             open_value = False
-            if (k := m[0][0]) in "\"'" and not _QUOTED.match(m[0]):
+            if m[0][0] in "\"'" and not _QUOTED.match(m[0]):
                 return "literal"
         elif stack and not (stack[-1][1] == "seq" or open_value):
             return "statement"
