@@ -51,13 +51,16 @@ def bm25(posts: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def vectors(texts: DataFrame) -> DataFrame:
     """id, dim, w: the non-zero places of each text's unit vector of hashed terms and trigrams, summed as doubles."""
-    t = texts.select("id", F.explode(tokens("text")).alias("t"))
-    t = t.groupBy("id", "t").agg(F.count("*").alias("n"))
+    t = texts.select("id", F.explode(tokens("text")).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    # each term is hashed once, however many texts hold it
+    terms = cut(texts.select(F.explode(tokens("text")).alias("t")).distinct())
     sign = lambda h: F.when(h % 2 == 0, 1.0).otherwise(-1.0)
-    whole = t.select("id", (fnv1a("t") % DIMENSIONS).alias("dim"), (sign(fnv1a("t", TOKEN_SIGN)) * TOKEN_WEIGHT * F.col("n")).alias("w"))
-    tri = t.filter(F.length("t") >= 3).select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3)))).alias("g"))
-    tri = tri.select("id", (fnv1a("g", TRIGRAM_SEED) % DIMENSIONS).alias("dim"), (sign(fnv1a("g", TRIGRAM_SIGN)) * TRIGRAM_WEIGHT * F.col("n")).alias("w"))
-    summed = whole.unionByName(tri).groupBy("id", "dim").agg(F.sum("w").alias("w")).filter("w <> 0")
+    whole = terms.select("t", (fnv1a("t") % DIMENSIONS).alias("dim"), (sign(fnv1a("t", TOKEN_SIGN)) * TOKEN_WEIGHT).alias("w"))
+    tri = terms.filter(F.length("t") >= 3).select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3)))).alias("g")).groupBy("t", "g").agg(F.count("*").alias("m"))
+    grams = tri.select("g").distinct().select("g", (fnv1a("g", TRIGRAM_SEED) % DIMENSIONS).alias("dim"), (sign(fnv1a("g", TRIGRAM_SIGN)) * TRIGRAM_WEIGHT).alias("v"))
+    tri = tri.join(grams, "g").select("t", "dim", (F.col("v") * F.col("m")).alias("w"))
+    places = cut(whole.unionByName(tri).groupBy("t", "dim").agg(F.sum("w").alias("w")))
+    summed = t.join(places, "t").groupBy("id", "dim").agg(F.sum(F.col("w") * F.col("n")).alias("w")).filter("w <> 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return summed.select("id", F.col("dim").cast("int").alias("dim"), (F.col("w") / norm).alias("w"))
 

@@ -21,10 +21,14 @@ def edges(spark, d):
     return G.merge_edges(load(spark, d, "graph_edges"))
 
 
-def hub(spark, d, type_=None):
+def written(spark, d):
+    """Nodes and edges, each worked out once for a question that reads them several times."""
+    return cut(nodes(spark, d)), cut(edges(spark, d))
+
+
+def hub(n, e, type_=None):
     """The node most edges lead to, as a table of one id, and the id."""
-    n = nodes(spark, d)
-    top = edges(spark, d).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).join(n if type_ is None else n.filter(F.col("type") == type_), "id", "left_semi").orderBy(F.desc("n"), "id").limit(1)
+    top = e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).join(n if type_ is None else n.filter(F.col("type") == type_), "id", "left_semi").orderBy(F.desc("n"), "id").limit(1)
     t = cut(top.select("id"))
     return t, t.first()[0]
 
@@ -75,7 +79,8 @@ def nodes_by_layer(s, d):
 
 
 def edges_for_node(s, d):
-    return G.edges_for_node(edges(s, d), hub(s, d)[1]).groupBy("direction", "type").agg(F.count("*").alias("n"))
+    n, e = written(s, d)
+    return G.edges_for_node(e, hub(n, e)[1]).groupBy("direction", "type").agg(F.count("*").alias("n"))
 
 
 def neighbor_counts(s, d):
@@ -84,8 +89,8 @@ def neighbor_counts(s, d):
 
 def _of_hub(direction, types):
     def q(s, d):
-        t, i = hub(s, d)
-        return G.neighbors(edges(s, d), direction, types).filter(F.col("id") == i).select("neighbor")
+        n, e = written(s, d)
+        return G.neighbors(e, direction, types).filter(F.col("id") == hub(n, e)[1]).select("neighbor")
 
     return q
 
@@ -134,33 +139,39 @@ def parent_violations(s, d):
 
 
 def bfs_depth(s, d):
-    return G.bfs(G.oriented(edges(s, d), "incoming"), hub(s, d)[0], 3)
+    n, e = written(s, d)
+    return G.bfs(G.oriented(e, "incoming"), hub(n, e)[0], 3)
 
 
 def bfs_confidence(s, d):
-    return G.bfs(G.oriented(edges(s, d), "both", min_confidence=0.9), hub(s, d, "component")[0], 2)
+    n, e = written(s, d)
+    return G.bfs(G.oriented(e, "both", min_confidence=0.9), hub(n, e, "component")[0], 2)
 
 
 def bfs_nodetype_emission(s, d):
     """Symbols only, though paths lead over all types."""
-    return G.bfs(G.oriented(edges(s, d), "incoming"), hub(s, d)[0], 3).join(nodes(s, d).filter("type = 'symbol'").select("id"), "id")
+    n, e = written(s, d)
+    return G.bfs(G.oriented(e, "incoming"), hub(n, e)[0], 3).join(n.filter("type = 'symbol'").select("id"), "id")
 
 
 def shortest_path_len(s, d):
     """From the hub to the last id that it reaches in four steps."""
-    e = cut(G.oriented(edges(s, d), "both"))
-    t, i = hub(s, d, "component")
+    n, every = written(s, d)
+    e = cut(G.oriented(every, "both"))
+    t, i = hub(n, every, "component")
     far = G.bfs(e, t, 4).groupBy().agg(F.max(F.struct("depth", "id")).alias("m")).select("m.id").first()[0]
     path = G.shortest_path(e, i, far)
     return s.createDataFrame([(i, far, len(path))], "source string, target string, n_nodes long")
 
 
 def feature_subgraph(s, d):
-    return G.feature_subgraph(nodes(s, d), edges(s, d), hub(s, d, "component")[0], 2)
+    n, e = written(s, d)
+    return G.feature_subgraph(n, e, hub(n, e, "component")[0], 2)
 
 
 def _impact(s, d):
-    return G.impact(nodes(s, d), edges(s, d), hub(s, d, "file")[0], 2)
+    n, e = written(s, d)
+    return G.impact(n, e, hub(n, e, "file")[0], 2)
 
 
 def impact_direct(s, d):
@@ -190,15 +201,18 @@ def dep_tree(s, d):
 
 
 def reverse_dep_tree(s, d):
-    return G.bfs(G.oriented(edges(s, d), "incoming", G.DEPENDENCIES), hub(s, d, "external-dependency")[0], 10)
+    n, e = written(s, d)
+    return G.bfs(G.oriented(e, "incoming", G.DEPENDENCIES), hub(n, e, "external-dependency")[0], 10)
 
 
 def concept_relations(s, d):
-    return G.bfs(G.oriented(edges(s, d), "both", G.CONCEPT_RELATIONS), hub(s, d, "module")[0], 3)
+    n, e = written(s, d)
+    return G.bfs(G.oriented(e, "both", G.CONCEPT_RELATIONS), hub(n, e, "module")[0], 3)
 
 
 def expand_node(s, d):
-    return G.expand(nodes(s, d), edges(s, d), hub(s, d, "component")[1], "tests-impact")
+    n, e = written(s, d)
+    return G.expand(n, e, hub(n, e, "component")[1], "tests-impact")
 
 
 def overview_nodes(s, d):

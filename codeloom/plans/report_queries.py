@@ -15,7 +15,7 @@ from codeloom.operators import reports as R
 from codeloom.operators import search as S
 from codeloom.operators import snapshots as SN
 from codeloom.plans.data_queries import _P2
-from codeloom.plans.graph_queries import BASE, CYCLE_TYPES, EDGES, LAYER, NODES, edges, hub, nodes, sql_list, sql_rule, sql_values
+from codeloom.plans.graph_queries import BASE, CYCLE_TYPES, EDGES, LAYER, NODES, edges, hub, nodes, sql_list, sql_rule, sql_values, written
 from codeloom.runtime import load
 
 QUERY = "ledger invoice controller payment"
@@ -272,7 +272,8 @@ def call_resolution(s, d):
 
 
 def capability_chain(s, d):
-    return X.capability_chain(nodes(s, d), edges(s, d), hub(s, d, "component")[0])
+    n, e = written(s, d)
+    return X.capability_chain(n, e, hub(n, e, "component")[0])
 
 
 def layer_groups(s, d):
