@@ -72,3 +72,30 @@ def prompt_quality(prompts: DataFrame) -> DataFrame:
     """doc_id, n_keywords, tokens, budget, reduction of prompts (doc_id, text)."""
     t = C.token_estimate("text")
     return prompts.select("doc_id", F.size(C.keywords("text", 6)).alias("n_keywords"), t.alias("tokens"), F.least(F.greatest(t * 4, F.lit(768)), F.lit(12000)).alias("budget"), C.floor_round(C.token_reduction(t), 4).alias("reduction"))
+
+
+# Node types that come first in the evidence for a task.
+TASK_TYPES = {"implementation": ["component", "api-endpoint", "service"], "testing": ["test-suite"]}
+
+
+def prompt_evidence(nodes: DataFrame, prompt: str, task: str = "implementation", limit: int = 10) -> DataFrame:
+    """id, type, name of the nodes that the prompt's first six words find, the task's types first, then by name."""
+    words = nodes.sparkSession.range(1).select(C.keywords(F.lit(prompt), 6)).first()[0]
+    if not words:
+        return nodes.filter("false").select("id", "type", "name")
+    found = nodes.join(seeds(nodes, words).select("id"), "id", "left_semi")
+    first = F.col("type").isin(TASK_TYPES.get(task, []))
+    return found.orderBy(first.desc(), F.asc_nulls_first("name"), "id").limit(limit).select("id", "type", "name")
+
+
+def context_seeds(semantic: DataFrame, by_word: DataFrame, active: DataFrame) -> DataFrame:
+    """id, relevance: the active file's nodes (id) at 1, else the semantic hits (id, score) at a fifth of the score, at most 1, else the word hits."""
+    every = active.select("id", F.lit(0).alias("p"), F.lit(1.0).alias("relevance")).unionByName(semantic.select("id", F.lit(1).alias("p"), F.least(F.col("score") / 5, F.lit(1.0)).alias("relevance"))).unionByName(by_word.select("id", F.lit(2).alias("p"), "relevance"))
+    return every.groupBy("id").agg(F.min_by("relevance", "p").alias("relevance"))
+
+
+def feature_context(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """kind, n, first: components, endpoints, tests, modules and layers of a feature's subgraph (id), with the first of each."""
+    d = described(nodes.join(near, "id", "left_semi"))
+    kind = F.when(F.col("type").isin("component", "api-endpoint", "test-suite", "module"), F.col("type")).otherwise("other")
+    return d.groupBy(kind.alias("kind"), "layer").agg(F.count("*").alias("n"), F.min_by("id", F.struct("generation_created", "id")).alias("first"))

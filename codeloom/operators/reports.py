@@ -10,6 +10,14 @@ from codeloom.operators.graph import strongly_connected
 from codeloom.runtime import cut, small
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each side by side, by an equi-join on a constant."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(r.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
 def one_per_file(files: DataFrame, *columns: str) -> DataFrame:
     """One row per file_id of repeated deliveries."""
     return files.select("file_id", *columns).dropDuplicates(["file_id"])
@@ -45,7 +53,7 @@ def patterns(nodes: DataFrame, files: DataFrame) -> DataFrame:
         some(F.exists(names, lambda n: n.contains("queue") | n.contains("event") | n.contains("subscriber") | n.contains("publisher"))).alias("queues"),
     )
     many = nodes.agg((F.count_if(F.col("type") == "project") > 3).alias("a"), (F.count_if(F.col("type") == "service") > 2).alias("b"))
-    row = seen.crossJoin(many)  # one row by one row
+    row = beside(seen, many)
     found = F.array_compact(F.array(F.when(F.expr("controllers AND models AND views"), "mvc"), F.when(F.expr("controllers AND services AND repositories"), "layered"), F.when(F.expr("a OR b"), "microservices"), F.when(F.col("queues"), "event-driven")))
     return row.select(F.explode(F.when(F.size(found) == 0, F.array(F.lit("unknown"))).otherwise(found)).alias("pattern"))
 
@@ -83,8 +91,12 @@ def hotspots(cc: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
 def maintainability(nodes: DataFrame, files: DataFrame, edges: DataFrame, cycle_types: list[str]) -> DataFrame:
     """One row: averages, cycles, hot spots, score and grade."""
     cc = cut(file_complexity(files))
-    parts = cc.agg(F.coalesce(F.avg("cc"), F.lit(1.0)).alias("avg_cc")).crossJoin(module_coupling(nodes, edges).agg(F.coalesce(F.avg("instability"), F.lit(0.0)).alias("avg_instability")))  # rows of one
-    parts = parts.crossJoin(strongly_connected(edges, cycle_types).agg(F.countDistinct("component").alias("n_cycles"))).crossJoin(hotspots(cc, edges).agg(F.count("*").alias("n_hot")))
+    parts = beside(
+        cc.agg(F.coalesce(F.avg("cc"), F.lit(1.0)).alias("avg_cc")),
+        module_coupling(nodes, edges).agg(F.coalesce(F.avg("instability"), F.lit(0.0)).alias("avg_instability")),
+        strongly_connected(edges, cycle_types).agg(F.countDistinct("component").alias("n_cycles")),
+        hotspots(cc, edges).agg(F.count("*").alias("n_hot")),
+    )
     score = C.maintainability(F.col("avg_cc"), F.col("avg_instability"), F.col("n_cycles"), F.col("n_hot"))
     return parts.select("n_cycles", "n_hot", score.cast("int").alias("score"), C.maintainability_grade(score).alias("grade"))
 
@@ -108,7 +120,7 @@ def doc_health(nodes: DataFrame) -> DataFrame:
     audited = nodes.filter(F.col("type").isin("symbol", "component") & ~skip)
     a = audited.agg(F.count("*").alias("audited"), F.count_if(F.length(F.trim(F.coalesce("description", F.lit("")))) > 10).alias("documented"))
     percent = F.when(F.col("audited") == 0, F.lit(100)).otherwise(C.floor_round(F.col("documented") * 100.0 / F.col("audited"))).cast("int")
-    return a.crossJoin(doc_gaps(nodes).agg(F.count("*").alias("n_gaps"))).withColumn("coverage", percent).withColumn("grade", C.coverage_grade(percent))  # rows of one
+    return beside(a, doc_gaps(nodes).agg(F.count("*").alias("n_gaps"))).withColumn("coverage", percent).withColumn("grade", C.coverage_grade(percent))
 
 
 def confidence_summary(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,13 @@ def postings(texts: DataFrame) -> DataFrame:
 
 def bm25(posts: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
     """id, score, n_terms of the texts that hold a term."""
-    stats = texts.select(F.size(tokens("text")).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    stats = texts.select(F.size(tokens("text")).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).first()  # one row of corpus statistics
     hits = cut(posts.join(small(cut(terms)), "term"))
     df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
-    n, a, f = F.col("n_docs"), F.col("avg_len"), F.col("df")
+    n, a, f = F.lit(stats.n_docs), F.lit(float(stats.avg_len or 1)), F.col("df")
     idf = F.log(1 + (n - f + 0.5) / (f + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / a))
-    # one row of corpus statistics, and one row a query term
-    return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("n_terms"))
+    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("n_terms"))  # df: one row a query term
 
 
 def vectors(texts: DataFrame) -> DataFrame:
@@ -94,3 +95,55 @@ def hybrid_search(nodes: DataFrame, query: str, limit: int = 20, types: list[str
     fused = 0.6 / (RRF_K + F.coalesce("a", F.lit(NO_RANK))) + 0.4 / (RRF_K + F.coalesce("b", F.lit(NO_RANK)))
     out = both.select("id", F.coalesce("score", F.lit(0.0)).alias("bm25"), F.coalesce("sim", F.lit(0.0)).alias("dense"), (fused * boost * 100).alias("score"))
     return out.filter(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(limit)
+
+
+#: Query vectors that one pass over all vectors compares.
+QUERY_BLOCK = 2000
+
+
+def nearest(vectors_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, sim, rank: the k vectors (vec_id, embedding) of the highest cosine with each query, itself left out.
+
+    The queries are a stated set, taken in blocks of QUERY_BLOCK; each task keeps k
+    rows a query, so what is shuffled does not grow with the vectors of a task. Null
+    vectors are left out; a vector of zeros has a cosine of 0. Ties go by vec_id.
+    """
+    spark = vectors_.sparkSession
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    rows, out = [], None
+    source = vectors_.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+
+    def match(block):
+        known = spark.sparkContext.broadcast((np.array([r.vec_id for r in block], np.int64), unit(np.array([r.embedding for r in block], np.float64))))
+
+        def run(batches):
+            ids, q = known.value
+            best: list[tuple[np.ndarray, np.ndarray]] = []
+            for b in batches:
+                vec = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if not len(vec):
+                    continue
+                sim = np.round(q @ unit(np.array(b.column(1).to_pylist(), np.float64)).T, 6)
+                sim[ids[:, None] == vec[None, :]] = -np.inf
+                every_id, every = np.broadcast_to(vec, sim.shape), sim
+                if best:
+                    every_id, every = np.concatenate((best[0][0], every_id), 1), np.concatenate((best[0][1], every), 1)
+                order = np.lexsort((every_id, -every), axis=1)[:, :k]
+                best = [(np.take_along_axis(every_id, order, 1), np.take_along_axis(every, order, 1))]
+            if best:
+                vec, sim = best[0]
+                ok = np.isfinite(sim).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, vec.shape[1])[ok]), pa.array(vec.ravel()[ok]), pa.array(sim.ravel()[ok])], names=["query_id", "vec_id", "sim"])
+
+        return source.mapInArrow(run, "query_id long, vec_id long, sim double")
+
+    for r in queries.select("vec_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+        rows.append(r)
+        if len(rows) == QUERY_BLOCK:
+            out, rows = (match(rows) if out is None else out.unionByName(match(rows))), []
+    if rows:
+        out = match(rows) if out is None else out.unionByName(match(rows))
+    if out is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, sim double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -369,4 +369,7 @@ ORACLE = {
     "cycles_bounded": f"""WITH {EDGES}, e AS (SELECT DISTINCT source AS s, target AS t FROM edges WHERE type IN {sql_list(CYCLE_TYPES)} AND source <> target)
         SELECT 2 AS length, a.s || ' > ' || a.t AS cycle FROM e a JOIN e b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t
         UNION ALL SELECT 3, a.s || ' > ' || a.t || ' > ' || b.t FROM e a JOIN e b ON b.s = a.t JOIN e c ON c.s = b.t AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t""",
+    "cycles_scc": f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT source AS s, target AS t FROM edges WHERE type IN {sql_list(CYCLE_TYPES)} AND source <> target),
+        reach AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM reach r JOIN e ON e.s = r.t), same AS (SELECT a.s AS id, a.t AS other FROM reach a JOIN reach b ON b.s = a.t AND b.t = a.s),
+        least_of AS (SELECT id, min(other) AS component FROM same GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM least_of""",
 }

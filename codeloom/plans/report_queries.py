@@ -15,7 +15,7 @@ from codeloom.operators import reports as R
 from codeloom.operators import search as S
 from codeloom.operators import snapshots as SN
 from codeloom.plans.data_queries import _P2
-from codeloom.plans.graph_queries import BASE, CYCLE_TYPES, EDGES, LAYER, NODES, edges, hub, nodes, sql_list, sql_rule, sql_values, written
+from codeloom.plans.graph_queries import BASE, CYCLE_TYPES, EDGES, LAYER, NODES, bfs_sql, edges, hub, hub_cte, nodes, sql_list, sql_rule, sql_values, written
 from codeloom.runtime import load
 
 QUERY = "ledger invoice controller payment"
@@ -163,12 +163,7 @@ def hybrid_rrf(s, d):
 def vector_topk(s, d):
     """The five nearest vectors of every vector whose id is divisible by 50, by cosine, against all rows."""
     e = load(s, d, "embeddings")
-    unit = lambda: F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    u = e.select("vec_id", unit().alias("u"))
-    q = u.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    # a stated query set against all rows; AQE broadcasts whichever side is small
-    sim = q.join(u, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y), 6).alias("sim"))
-    return sim.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).filter("rank <= 5")
+    return S.nearest(e, e.filter("vec_id % 50 = 0"), 5)
 
 
 def module_of_path(s, d):
@@ -306,6 +301,66 @@ def service_dependencies(s, d):
     return t.join(known, ["repo", "dep"], "left").groupBy("repo", "service_name").agg(F.count("*").alias("n_deps"), F.count("known").alias("n_known"))
 
 
+PROMPT = "Add a ledger export to the invoice panel and check the warehouse"
+
+
+def prompt_evidence(s, d):
+    return X.prompt_evidence(nodes(s, d), PROMPT)
+
+
+def context_seeds(s, d):
+    """Semantic hits, word hits and the nodes of the first file."""
+    n, _ = written(s, d)
+    active = n.filter("type IN ('symbol', 'component')").select("id", "file_path").filter("file_path IS NOT NULL")
+    first = active.agg(F.min("file_path").alias("file_path"))
+    out = X.context_seeds(S.hybrid_search(n, QUERY, 25, min_score=0.1), X.seeds(n, ["ledger", "invoice"]), active.join(F.broadcast(first), "file_path", "left_semi"))  # one path
+    return out.select("id", F.round("relevance", 6).alias("relevance"))
+
+
+def feature_context(s, d):
+    n, e = written(s, d)
+    return X.feature_context(n, G.feature_subgraph(n, e, hub(n, e, "component")[0], 2))
+
+
+def feature_gaps(s, d):
+    return X.gaps(capability_chain(s, d))
+
+
+def top_languages(s, d):
+    return nodes(s, d).filter("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(3)
+
+
+def status_metrics(s, d):
+    k = lambda *t: F.count_if(F.col("type").isin(*t))
+    n = nodes(s, d).agg(k("symbol").alias("symbols"), k("api-endpoint", "component").alias("entry_points"), k("test-suite").alias("tests"), k("external-dependency").alias("dependencies"))
+    return R.beside(n, edges(s, d).agg(F.count("*").alias("relationships")))
+
+
+def tree_view(s, d):
+    """The first fifty nodes of each type, and how many there are."""
+    w = Window.partitionBy("type")
+    n = nodes(s, d).select("id", "type", F.row_number().over(w.orderBy("generation_created", "id")).alias("place"), F.count("*").over(w).alias("n"))
+    return n.filter("place <= 50")
+
+
+def search_listing(s, d):
+    """The first twenty hits of a word, five of each type at most."""
+    hits = G.search_nodes(nodes(s, d), "warehouse").orderBy("generation_created", "id").limit(20)
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("generation_created", "id"))).filter("r <= 5").select("type", "id")
+
+
+def file_stats(s, d):
+    return files(s, d).groupBy("language").agg(F.count("*").alias("n_files"), F.sum("byte_count").alias("bytes"), F.sum(F.size(F.coalesce("symbols", F.array()))).alias("n_symbols"))
+
+
+def routes(s, d):
+    return E.routes(_lines(s, d))
+
+
+def project_directories(s, d):
+    return B.projects(files(s, d).select("file_path"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,6 +368,7 @@ QUERIES = {
         top_k_per_change, staleness, latest_per_key, changed_keys, generation_summary, stream_activity, tokenize_counts, fnv_hash, embedding_dims, synonym_expand, bm25, dense_topk, hybrid_rrf, vector_topk, module_of_path, language_of_path,
         role_of_path, excluded_files, oversized_files, content_hash, symbols, imports, ddl_columns, ddl_foreign_keys, dockerfiles, yaml_keys, json_keys, markdown_headings, keyword_extract, structure_counts, file_modules, import_resolution,
         external_packages, model_tables, call_resolution, capability_chain, layer_groups, dependency_summary, seed_relevance, prompt_quality, schema_projection, service_dependencies,
+        prompt_evidence, context_seeds, feature_context, feature_gaps, top_languages, status_metrics, tree_view, search_listing, file_stats, routes, project_directories,
     )
 }
 
@@ -465,4 +521,42 @@ ORACLE = {
     "prompt_quality": f"SELECT doc_id, CAST(len({_KEYW}) AS INT) AS n_keywords, {_EST} AS tokens, least(greatest({_EST} * 4, 768), 12000) AS budget, floor(greatest(0.7, 1 - {_EST} / CAST(greatest({_EST} * 25, 45000) AS DOUBLE)) * 10000 + 0.5) / 10000 AS reduction FROM documents WHERE text IS NOT NULL",
     "service_dependencies": "WITH t AS (SELECT DISTINCT repo, service_name, unnest(depends_on) AS dep FROM docker_services WHERE service_name IS NOT NULL) SELECT repo, service_name, count(*) AS n_deps, count(CASE WHEN EXISTS (SELECT 1 FROM docker_services k WHERE k.repo = t.repo AND k.service_name = t.dep) THEN 1 END) AS n_known FROM t GROUP BY 1, 2",
     "vector_topk": "WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS sim FROM u q JOIN u e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5",
+    "excluded_files": rf"""WITH {FILES}, p AS (SELECT workspace, unnest(exclude_patterns) AS x FROM engine_configs), q AS (SELECT f.file_id, f.file_path AS p, split_part(f.file_path, '/', -1) AS name, x, regexp_replace(x, '^(.*?)\*\*/', '\1') AS tail FROM files f JOIN p ON p.workspace = f.workspace),
+        r AS (SELECT *, replace(tail, '/**', '') AS folder, regexp_replace(tail, '^([^*]*)\*', '\1') AS part, regexp_replace(x, '^([^*]*)\*', '\1') AS plain FROM q)
+        SELECT DISTINCT file_id FROM r WHERE (contains(x, '**/') AND ends_with(tail, '/**') AND (name = folder OR contains(p, '/' || folder || '/') OR starts_with(p, folder || '/'))) OR (contains(x, '**/') AND NOT ends_with(tail, '/**') AND (name = part OR contains(p, part))) OR name = x OR name = plain OR starts_with(name, '.')""",
+    "dockerfiles": rf"""WITH {LINES}, d AS (SELECT * FROM lines WHERE starts_with(lower(split_part(file_path, '/', -1)), 'dockerfile')), i AS (SELECT file_id, regexp_extract(line, '(?i)^\s*FROM\s+(\S+)', 1) AS image, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn FROM d WHERE regexp_matches(line, '(?i)^\s*FROM\s+')),
+        e AS (SELECT file_id, unnest(string_split_regex(trim(regexp_extract(line, '(?i)^\s*EXPOSE\s+([0-9\s]+)', 1)), '\s+')) AS port FROM d WHERE regexp_matches(line, '(?i)^\s*EXPOSE\s+[0-9]')), g AS (SELECT file_id, string_agg(port, ',' ORDER BY port) AS ports FROM e GROUP BY file_id)
+        SELECT x.file_id, i.image, coalesce(g.ports, '') AS ports FROM (SELECT DISTINCT file_id FROM d) x LEFT JOIN i ON i.file_id = x.file_id AND i.rn = 1 LEFT JOIN g ON g.file_id = x.file_id""",
+    "structure_counts": f"""WITH {LINES}, sy AS ({_symbol_sql()}), {MODULES}, {FILE_MODULES}, s AS (SELECT DISTINCT 'file:' || f.file_path AS file, CASE WHEN kind IN ('class', 'interface', 'struct', 'trait', 'enum', 'impl') THEN 'component' ELSE 'symbol' END AS type, f.file_path || ':' || y.name AS qn FROM sy y JOIN files f ON f.file_id = y.file_id)
+        SELECT 'repository' AS type, count(DISTINCT repo) AS n FROM files WHERE repo IS NOT NULL UNION ALL SELECT 'module', count(*) FROM mods UNION ALL SELECT 'file', count(DISTINCT file_path) FROM files UNION ALL SELECT type, count(DISTINCT qn) FROM s GROUP BY type
+        UNION ALL SELECT 'contains', (SELECT count(*) FROM (SELECT DISTINCT m.module, f.file_path FROM in_module m JOIN files f ON f.file_id = m.file_id)) + (SELECT count(*) FROM s WHERE type = 'component') UNION ALL SELECT 'defined-in', count(*) FROM s WHERE type = 'symbol'""",
+    "call_resolution": f"""WITH {BASE}, y AS (SELECT id, name, qualified_name, file_path FROM nodes WHERE type IN ('symbol', 'component')), c AS (SELECT DISTINCT e.source AS caller, a.file_path AS caller_file, b.name AS callee, split_part(b.name, '.', -1) AS part FROM edges e JOIN y a ON a.id = e.source JOIN y b ON b.id = e.target WHERE e.type = 'calls' AND b.name IS NOT NULL),
+        h AS (SELECT caller, callee, y.id, 0 AS r FROM c JOIN y ON y.qualified_name = c.callee UNION ALL SELECT caller, callee, y.id, CASE WHEN y.file_path = caller_file THEN 1 ELSE 2 END FROM c JOIN y ON y.name = c.callee UNION ALL SELECT caller, callee, y.id, 3 FROM c JOIN y ON y.name = c.part WHERE part <> callee)
+        SELECT DISTINCT caller AS source, id AS target FROM (SELECT *, row_number() OVER (PARTITION BY caller, callee ORDER BY r, id) AS rn FROM h) WHERE rn = 1 AND caller <> id""",
+    "schema_projection": f"""WITH {NODES}, t AS (SELECT lower(name) AS name, min(id) AS target FROM nodes WHERE type = 'database-table' AND name IS NOT NULL GROUP BY 1), c AS (SELECT id, lower(name) AS name FROM nodes WHERE type = 'component' AND name IS NOT NULL),
+        m AS (SELECT coalesce(a.target, b.target) AS target, count(*) AS n FROM c LEFT JOIN t a ON a.name = c.name LEFT JOIN t b ON b.name = c.name || 's' GROUP BY 1) SELECT n.id, n.name, coalesce(m.n, 0) AS n_models FROM nodes n LEFT JOIN m ON m.target = n.id WHERE n.type = 'database-table'""",
+    "ddl_foreign_keys": rf"""WITH {PARTS} SELECT file_id, table_name, column_name, references_table, CASE WHEN references_column = '' THEN 'id' ELSE references_column END AS references_column FROM (SELECT file_id, table_name,
+        CASE WHEN regexp_matches(part, '{_FK}') THEN regexp_extract(part, '{_FK}', 1) ELSE regexp_extract(part, '{_IK}', 1) END AS column_name, CASE WHEN regexp_matches(part, '{_FK}') THEN regexp_extract(part, '{_FK}', 2) ELSE regexp_extract(part, '{_IK}', 2) END AS references_table,
+        CASE WHEN regexp_matches(part, '{_FK}') THEN regexp_extract(part, '{_FK}', 3) ELSE regexp_extract(part, '{_IK}', 3) END AS references_column FROM parts WHERE regexp_matches(part, '{_FK}') OR regexp_matches(part, '{_IK}'))""",
+    "capability_chain": bfs_sql(2, least=0.3, starts=hub_cte(type_="component"), select=f"""SELECT t.place, t.stage, t.id, t.confidence FROM (WITH near AS (SELECT id FROM reached UNION SELECT source FROM edges WHERE type = 'tests' AND target IN (SELECT id FROM reached)
+        UNION SELECT source FROM edges WHERE type IN ('handles-route', 'api-flow') AND target IN (SELECT r.id FROM reached r JOIN nodes n ON n.id = r.id WHERE n.type = 'component')
+        UNION SELECT target FROM edges WHERE type IN ('configures', 'feature-flag') AND source IN (SELECT id FROM reached) UNION SELECT source FROM edges WHERE type IN ('configures', 'feature-flag') AND target IN (SELECT id FROM reached)),
+        d AS (SELECT id, type, {_LAYER0} AS layer, {ROLE.replace("lower(file_path)", "lower(coalesce(file_path, ''))")} AS role, file_path, generation_created FROM nodes WHERE id IN (SELECT id FROM near)) """
+        + " UNION ALL ".join(f"SELECT {p} AS place, '{n}' AS stage, (SELECT id FROM d WHERE {c} ORDER BY generation_created, id LIMIT 1) AS id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE {c}) THEN {sure} ELSE 0.5 END AS confidence" for p, n, c, sure in X.STAGES)
+        + " UNION ALL SELECT 1, 'feature-request', NULL, 1.0 UNION ALL SELECT 11, 'related-workflows', NULL, 0.7) t"),
+    "maintainability": f"""WITH RECURSIVE {FILES}, {BASE}, {CC}, {HOT}, {COUPLING}, e AS (SELECT DISTINCT source AS s, target AS t FROM edges WHERE type IN {sql_list(CYCLE_TYPES)} AND source <> target),
+        reach AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM reach r JOIN e ON e.s = r.t), least_of AS (SELECT a.s AS id, min(a.t) AS component FROM reach a JOIN reach b ON b.s = a.t AND b.t = a.s GROUP BY a.s),
+        m AS (SELECT (SELECT count(DISTINCT component) FROM least_of) AS n_cycles, (SELECT count(*) FROM hot) AS n_hot, (SELECT coalesce(avg(cc), 1) FROM cc) AS c, (SELECT coalesce(avg(floor(raw * 100 + 0.5) / 100), 0) FROM rated) AS i),
+        z AS (SELECT n_cycles, n_hot, CAST(greatest(0, least(100, floor(100 - (greatest(0, c - 5) * 2 + i * 30 + least(25, n_cycles * 5) + least(20, n_hot * 2)) + 0.5))) AS INT) AS score FROM m)
+        SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM z""",
+    "prompt_evidence": f"WITH {NODES} SELECT id, type, name FROM nodes WHERE " + " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for w in ("add", "ledger", "export", "the", "invoice", "panel") for c in ("name", "qualified_name", "description")) + " ORDER BY type IN ('component', 'api-endpoint', 'service') DESC, name NULLS FIRST, id LIMIT 10",
+    "feature_context": bfs_sql(2, least=0.3, starts=hub_cte(type_="component"), select=f"""SELECT * FROM (WITH near AS (SELECT id FROM reached UNION SELECT source FROM edges WHERE type = 'tests' AND target IN (SELECT id FROM reached)
+        UNION SELECT source FROM edges WHERE type IN ('handles-route', 'api-flow') AND target IN (SELECT r.id FROM reached r JOIN nodes n ON n.id = r.id WHERE n.type = 'component')
+        UNION SELECT target FROM edges WHERE type IN ('configures', 'feature-flag') AND source IN (SELECT id FROM reached) UNION SELECT source FROM edges WHERE type IN ('configures', 'feature-flag') AND target IN (SELECT id FROM reached)), d AS (SELECT CASE WHEN type IN ('component', 'api-endpoint', 'test-suite', 'module') THEN type ELSE 'other' END AS kind, {_LAYER0} AS layer, id, generation_created FROM nodes WHERE id IN (SELECT id FROM near)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY kind, layer ORDER BY generation_created, id) AS rn, count(*) OVER (PARTITION BY kind, layer) AS n FROM d) SELECT kind, layer, n, id AS first FROM r WHERE rn = 1) x"""),
+    "top_languages": f"WITH {NODES} SELECT language, count(*) AS n FROM nodes WHERE language IS NOT NULL GROUP BY language ORDER BY n DESC, language LIMIT 3",
+    "status_metrics": f"WITH {BASE} SELECT count(CASE WHEN type = 'symbol' THEN 1 END) AS symbols, count(CASE WHEN type IN ('api-endpoint', 'component') THEN 1 END) AS entry_points, count(CASE WHEN type = 'test-suite' THEN 1 END) AS tests, count(CASE WHEN type = 'external-dependency' THEN 1 END) AS dependencies, (SELECT count(*) FROM edges) AS relationships FROM nodes",
+    "tree_view": f"WITH {NODES} SELECT * FROM (SELECT id, type, CAST(row_number() OVER (PARTITION BY type ORDER BY generation_created, id) AS INT) AS place, count(*) OVER (PARTITION BY type) AS n FROM nodes) WHERE place <= 50",
+    "search_listing": f"WITH {NODES}, h AS (SELECT * FROM nodes WHERE contains(lower(coalesce(name, '')), 'warehouse') OR contains(lower(coalesce(qualified_name, '')), 'warehouse') OR contains(lower(coalesce(description, '')), 'warehouse') ORDER BY generation_created, id LIMIT 20) SELECT type, id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY generation_created, id) AS r FROM h) WHERE r <= 5",
+    "file_stats": f"WITH {FILES} SELECT language, count(*) AS n_files, CAST(sum(byte_count) AS BIGINT) AS bytes, CAST(sum(coalesce(len(symbols), 0)) AS BIGINT) AS n_symbols FROM files GROUP BY language",
 }
