@@ -76,15 +76,25 @@ def file_complexity(files: DataFrame) -> DataFrame:
 
 def complexity_summary(cc: DataFrame) -> DataFrame:
     """n, avg_cc, p90_desc_index (the value at nine tenths of the list from the highest on), p90."""
-    ranked = cc.select("cc", F.row_number().over(Window.orderBy(F.desc("cc"))).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.agg(F.count("*").alias("n"), C.floor_round(F.avg("cc"), 2).alias("avg_cc"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.9) + 1, F.col("cc"))).alias("p90_desc_index"), F.max(F.when(F.col("r") == F.col("n") - F.ceil(F.col("n") * 0.9) + 1, F.col("cc"))).alias("p90"))
+    # a histogram has few rows, however many values there are
+    h = cc.groupBy("cc").agg(F.count("*").alias("k"))
+    down, up = Window.orderBy(F.desc("cc")), Window.orderBy("cc")
+    h = h.select("cc", "k", F.sum("k").over(down).alias("above"), F.sum("k").over(up).alias("below"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    nth = lambda upto, place: F.max(F.when((F.col(upto) >= place) & (F.col(upto) - F.col("k") < place), F.col("cc")))
+    return h.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
+        C.floor_round(F.sum(F.col("cc") * F.col("k")) / F.sum("k"), 2).alias("avg_cc"),
+        nth("above", F.floor(F.col("n") * 0.9) + 1).alias("p90_desc_index"),
+        nth("below", F.ceil(F.col("n") * 0.9)).alias("p90"),
+    )
 
 
 def hotspots(cc: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     """id, cc, coupling, score of the riskiest files."""
     touch = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("coupling"))
-    j = cc.select("id", "cc", F.max("cc").over(Window.partitionBy()).alias("top")).filter("cc >= 5").join(touch, "id", "left").fillna(0, ["coupling"])
-    score = C.floor_round(F.least(F.lit(100.0), F.col("cc") * 100.0 / F.greatest("top", F.lit(1))) * 0.6 + F.least(F.lit(100.0), F.col("coupling") * 5.0) * 0.4)
+    top = cc.agg(F.max("cc")).first()[0] or 1
+    j = cc.select("id", "cc").filter("cc >= 5").join(touch, "id", "left").fillna(0, ["coupling"])
+    score = C.floor_round(F.least(F.lit(100.0), F.col("cc") * 100.0 / max(top, 1)) * 0.6 + F.least(F.lit(100.0), F.col("coupling") * 5.0) * 0.4)
     return j.withColumn("score", score).filter("score >= 30").orderBy(F.desc("score"), "id").limit(limit).select("id", "cc", "coupling", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.columns import fnv1a, tokens
 from codeloom.functions.rules import CONCEPTS
-from codeloom.runtime import cut, small
+from codeloom.runtime import cut, ranked, small
 
 # BM25, fusion and vector parameters.
 K1, B, RRF_K, NO_RANK, DIMENSIONS, LEAST_COSINE = 1.5, 0.75, 60, 1000, 256, 0.05
@@ -84,9 +84,8 @@ def hybrid_search(nodes: DataFrame, query: str, limit: int = 20, types: list[str
     lexical = cut(bm25(postings(texts), texts, expand_terms(spark, query)))
     whole = texts.limit(DENSE_ALL).count() < DENSE_ALL
     dense = cosine(vectors(texts if whole else texts.join(lexical.select("id"), "id", "left_semi")), query).filter(F.col("sim") > LEAST_COSINE)
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "id"))
-    a = lexical.filter("score > 0").withColumn("a", rank("score"))
-    b = dense.withColumn("b", rank("sim"))
+    a = ranked(lexical.filter("score > 0"), "a", F.desc("score"), F.col("id"))
+    b = ranked(dense, "b", F.desc("sim"), F.col("id"))
     both = a.join(b, "id", "full_outer").join(texts.select("id", "type", "name"), "id")
     if types:
         both = both.filter(F.col("type").isin(types))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that `small` lets a join broadcast.
@@ -74,3 +74,16 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """`df` with its place (from 1) in the whole order, without one task that sorts all rows.
+
+    Rows are spread by ranges of the order and counted; a row's place is its place in
+    its range after all rows of the ranges before. `order` must tell all rows apart.
+    """
+    spread = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    out = spread.join(F.broadcast(before), "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before"))
+    return out.drop("_part", "_before")
