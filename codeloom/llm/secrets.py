@@ -25,7 +25,7 @@ TRIGGERS = (
 
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _PLACE = re.compile(
-    r"(?i)^(?:|\$.*|%.*|#.*|.*\$\{.*|.*\{\{.*|.*<[\w -]+>.*|\{.*\}|\[.*\]|@.*|[*•x.?_-]{3,}|.*\*{4,}.*|change[-_ ]?me.*|change[-_ ]?it|replace[-_ ]?.*|your[-_ ].*|my[-_]?(?:password|secret|token)|(?:example|sample|dummy|fake|test|todo|fixme|placeholder|redacted|masked|hidden|removed|none|null|nil|undefined|true|false|yes|no|on|off|empty|unset|default|auto|disabled|enabled|required|optional|password|passwd|secret|token)"
+    r"(?i)^(?:|\$.*|%.*|#.*|.*\$\{.*|.*\{\{.*|.*<[\w -]+>.*|\{.*\}|\[.*\]|@.*|[*•x.?_-]{3,}|.*\*{4,}.*|change[-_ ]?me.*|change[-_ ]?it|replace[-_ ]?.*|your[-_ ].*|my[-_]?(?:password|secret|token)|(?:fake|dummy)[-_].*|(?:example|sample|dummy|fake|test|todo|fixme|placeholder|redacted|masked|hidden|removed|none|null|nil|undefined|true|false|yes|no|on|off|empty|unset|default|auto|disabled|enabled|required|optional|password|passwd|secret|token)"
     r"|(?:vault|file|env|secret|secrets|ref\+?\w*|op|ssm|kms|aws|gcp|azure|keyring|arn|sops|akv|config)(?::|://).*|\d+(?:\.\d+)?(?:ms|us|ns|s|m|h|d|w|y|kb|mb|gb|k|%)?|sha\d+[-:].*|md5[-:].*|data:.*|(?:hs|rs|es|ps)\d{3}|(?:sha|aes|rsa|md)-?\d+(?:-\w+)*|(?:~|\.{1,2})/.*|/(?:run|etc|var|opt|usr|home|mnt|tmp|app|data|srv|secrets?|root|dev|proc|config|keys|certs?|ssl)/.*|process\.env.*|os\.environ.*|getenv.*|https?://[^@]*)$"
 )
 _UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\}?$")
@@ -113,8 +113,9 @@ def secret_value(v: str, words: frozenset[str], quoted: bool = True) -> bool:
 
 
 _Q = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
-ASSIGN = re.compile(rf"(?P<name>[A-Za-z_$][\w$.-]*)(?:\"|'|`)?\]?\??\s*(?:(?::\s*[^=\"'`\n,;(){{}}]{{0,40}})?[:+]?=>?|:|,(?=\s*[\"'`]))\s*(?:new \w+\(|String\(|@|\$|b|u|r|f)?{_Q}")
+ASSIGN = re.compile(rf"(?P<name>[A-Za-z_$][\w$.-]*)(?:\"|'|`)?\]?\??\s*(?:(?::\s*[^=\"'`\n,;(){{}}]{{0,40}})?[:+]?=>?|:)\s*(?:new \w+\(|String\(|@|\$|b|u|r|f)?{_Q}")
 CALL = re.compile(rf"\b(?:set|with|add|use)[_A-Z](?P<name>\w*)\(\s*{_Q}")
+PAIR = re.compile(rf"\(\s*[\"'`](?P<name>[\w.-]+)[\"'`]\s*,\s*{_Q}")
 BARE = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)[\"'`]?[ \t]*(?:=|:(?=\s)|:(?=[^\s/:=]{6,}\s*$))[ \t]*(?=(?P<v>[^\s\"'`;|&]+))")
 ENV = re.compile(r"(?i)^\s*(?:ENV|ARG)\s+(?P<name>\w+)\s+(?P<v>\S+)\s*$")
 URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]*:(?P<v>[^\s@\"'<>/]+|[^\s@\"'<>]+)@[\w\[.$-]")
@@ -123,8 +124,9 @@ QUERY = re.compile(r"(?i)[?&](?:sig|signature|token|access_token|api_?key|key|se
 HEADER = re.compile(r"(?i)\b(?P<kind>bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.~-]{8,})")
 SQL = re.compile(r"(?i)\b(?:password|identified\s+by|secret)\s+(?:=\s*)?'(?P<v>[^'\n]+)'")
 OPTION = re.compile(r"(?i)(?<![\w-])(?:--?(?:[\w-]*?(?:password|passwd|token|secret|api-?key|access-?key|passphrase|pwd)|pass)(?:=|\s+)|-D[\w.]*?\.?(?:password|passwd|pass|secret|key|token|pwd)=|(?:-u|--user)[= ]\s*[\w.@-]+:|sshpass\s+-p\s*)[\"']?(?P<v>[^\s\"']+)")
-SAID = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pwd|login|credentials?|creds|secret|token|api[- ]?key|access[- ]?key|key)\b(?:[^\n\"'`=:/]{0,40}?)(?:\s*[:=/]\s*|\s+(?:is|was)\s+)(?:[\w.@-]+\s*[/:]\s*)?[\"'`]?(?P<v>[^\s\"'`,;]{6,})[\"'`.,;)]?")
+SAID = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pass(?=\s*[:=])|pwd|login|credentials?|creds|secret|token|api[- ]?key|access[- ]?key|key)\b(?:[^\n\"'`=:/]{0,40}?)(?:\s*[:=/]\s*|\s+(?:is|was)\s+)(?:[\w.@-]+\s*[/:]\s*)?[\"'`]?(?P<v>[^\s\"'`,;]{6,})[\"'`.,;)]?")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
+_LAST = re.compile(r"(?i)(?:password|passwd|pwd|pass|secret|token|key|credentials?|passphrase)(?:[._-]?(?:eu|us|main|old|new|prod|dev|ro|rw|\d+))?$")
 _JOINT = re.compile(r"(?P<q>[\"'`])\s*(?:\+|\.{1,2}|&|\|\||\\)?\s*(?P=q)")
 _COMMENTED = re.compile(r"^\s*(?://|#|--|\*|/\*|<!--|;|>|rem\b|%|\"\"\"|''')|\s(?://|#|--)\s", re.I)
 #: Extensions in which a value needs no quotes.
@@ -167,11 +169,13 @@ def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[in
             text = _printable(m["v"])
             if text and ":" in text and not _PLACE.match(text.split(":", 1)[1]):
                 take(m)
-        elif residual(m["v"], words) >= 8 and secret_value(m["v"], words):
+        elif (re.search(r"\d", m["v"]) or (len(m["v"]) >= 16 and re.search(r"[a-z][A-Z]|^[A-Z]+$", m["v"]))) and residual(m["v"], words) >= 8 and secret_value(m["v"], words):
             take(m)
     commented = bool(_COMMENTED.search(joined))
-    for pattern in (ASSIGN, CALL):
+    for pattern in (ASSIGN, CALL, PAIR):
         for m in pattern.finditer(joined):
+            if pattern is PAIR and not _LAST.search(m["name"]):
+                continue
             if credential_name(m["name"], words) and secret_value(m["v"], words) and not HEADER.match(m["v"]) and "-----BEGIN" not in m["v"] and "://" not in m["v"]:
                 take(m)
     if (plain or commented) and "-----BEGIN" not in joined:

@@ -31,12 +31,13 @@ _BLOCK = r"/\*.*?\*/"
 _DQ = r'"(?:[^"\\\n]|\\.)*"'
 _SQ = r"'(?:[^'\\\n]|\\.)*'"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'"
-_REGEX = r"(?<=[=(,:;!&|?{}\[\n])[ \t]*(?P<x>/(?![*/\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
+_TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^`{}]|`(?:[^`\\]|\\.)*`|\{(?:[^`{}]|`(?:[^`\\]|\\.)*`)*\})*\})*`"
+_REGEX = r"(?:(?<=[=(,:;!&|?{}\[\n+])|(?<=return)|(?<=typeof)|(?<=case))[ \t]*(?P<x>/(?![*/\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
 LEXERS = {
-    "js": rf"(?P<c>//[^\n]*|{_BLOCK}|\A\#![^\n]*)|{_DQ}|{_SQ}|`(?:[^`\\]|\\.)*`|{_REGEX}",
+    "js": rf"(?P<c>//[^\n]*|{_BLOCK}|\A\#![^\n]*)|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}",
     "java": rf'(?P<c>//[^\n]*|{_BLOCK})|"""(?:[^\\]|\\.)*?"""|{_DQ}|{_CHAR}',
     "cs": rf'(?P<c>//[^\n]*|{_BLOCK}|^[ \t]*\#[a-z][^\n]*)|\$*"""+.*?"""+|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?{_DQ}|{_CHAR}',
-    "cpp": rf'(?P<c>//[^\n]*|{_BLOCK}|^[ \t]*\#[ \t]*[a-z](?:[^\n\\]|\\.)*)|R"(?P<d>[^\s()\\"]*)\(.*?\)(?P=d)"|{_DQ}|(?<![0-9a-fA-F]){_CHAR}|(?<=\d)\'(?=\d)',
+    "cpp": rf'(?P<c>//[^\n]*|{_BLOCK}|^[ \t]*\#[ \t]*[a-z](?:[^\n\\/]|\\.|/(?!\*)|{_BLOCK})*)|R"(?P<d>[^\s()\\"]*)\(.*?\)(?P=d)"|{_DQ}|(?<![0-9a-fA-F]){_CHAR}|(?<=\d)\'(?=\d)',
     "go": rf"(?P<c>//[^\n]*|{_BLOCK})|{_DQ}|{_CHAR}|`[^`]*`",
     "rust": rf'(?P<c>//[^\n]*|/\*(?:[^*/]|/(?!\*)|\*(?!/)|/\*.*?\*/)*\*/)|b?r(?P<h>\#*)".*?"(?P=h)|"(?:[^"\\]|\\.)*"|{_CHAR}|\'[A-Za-z_]\w*',
 }
@@ -61,14 +62,14 @@ _HEADER, _PARENS = re.compile(r"c ?(?:k )?\([^()]*\)"), re.compile(r"\([^()]*\)"
 # Sequences of token classes that no sentence of the language holds. i: name, k: word of the
 # language, c: its header words, r: return or throw, 0: number, s: other literal, p: a pair of
 # parentheses and what is in it, C: a header with its parentheses.
-_ALL = r"i i i i|= ?[;)\]}]|(?<![+/])[+/%|^] ?[;)\]]|(?<!\.)\. ?[;)\]}]|, ?;|[({\[] ?;(?! ?[i0s;)])|\( ?,|[s0] [i0s]|c ?[;}=]|i ip ?: ?(?:\n|\Z)|[=+*/%<>&|] ?\n?\Z|\A ?[)\]},]"
+_ALL = r"i i i i|(?<!\[)= ?[;)\]}]|(?<![+/])[+/%|^] ?[;)\]]|(?<!\.)\. ?[;)\]}]|, ?;|(?<!c)(?<!c )[(\[] ?;|\( ?,|[s0] [i0s]|c ?[;}=]|i ip ?: ?(?:\n|\Z)|[=+*/%<>&|] ?\n?\Z|\A ?[)\]},]"
 _BAD = {
     # type annotations are no JavaScript: in parameters, after them, of results
     "js": _ALL + r"|i [i0s]|p [i0s]|\( ?(?:[^(){}\[\]?]*, ?)?i ?\?? ?: ?[iks]|p ?: ?[ik](?: ?\[ ?\])* ?\{",
     "ts": _ALL + r"|i [i0s]|(?<!@i)(?<!@i )p [i0s]",
     "java": _ALL + r"|i [0s]|i i i|[0s]\n[ik]|(?<!@i)(?<!@i )(?<=i)p\n[ir]|i ?:= ?",
     "cs": _ALL + r"|i [0s]|[0s]\n[ir]|(?<=i)p\n[ir]|i ?:= ?",
-    "cpp": _ALL.replace("[s0] [i0s]", "0 [i0s]") + r"|\.ip\n[ikrc]|= ?[^;{}\n,()]*[i0s]\n[irc]|i ?:= ?|(?<!^)(?<=[;}\n])k (?:k )?i: ",
+    "cpp": _ALL.replace("[s0] [i0s]", "0 [i0s]") + r"|\.ip\n[ikrc]|= ?[^;{}\n,()]*[i0s]\n[irc]|i ?:= ?",
     "go": _ALL.replace(r", ?;|", r"") + r"|i i i|i 0|s i|;\n(?:\Z|[^\n])",
     "rust": _ALL + r"|i [i0s]|[0s]\n[irk]|\n?p\n[ir]",
 }
@@ -92,6 +93,22 @@ def classes(code: str, language: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", t))
 
 
+def _first_branches(text: str) -> str:
+    """`text` without what stands between #else or #elif and #endif."""
+    out, skipped = [], [False]
+    for line in text.split("\n"):
+        if m := re.match(r"[ \t]*#[ \t]*(if|el|endif)", line):
+            if m[1] == "if":
+                skipped.append(skipped[-1])
+            elif m[1] == "el":
+                skipped[-1] = True
+            elif len(skipped) > 1:
+                skipped.pop()
+            line = ""
+        out.append("" if skipped[-1] else line)
+    return "\n".join(out)
+
+
 def _parse_c(text: str, language: str) -> str | None:
     def literal(m):
         if m["c"] is not None:
@@ -112,7 +129,9 @@ def _parse_c(text: str, language: str) -> str | None:
     if _ODD[language].search(code):
         return "character"
     if not _balanced(code):
-        return "bracket"
+        # branches of the preprocessor may open what only one of them needs
+        if language not in ("cpp", "cs") or not _balanced(code := LEXERS[language].sub(literal, _first_branches(text))):
+            return "bracket"
     t = classes(code, language)
     t = re.sub(r"i(?: ?\?{0,1}\.\n?i)+", "i", t)
     n = -1
