@@ -95,16 +95,18 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     changed, dropped or added. Items are split into exact pieces, of which a passage
     must hold one by the pigeonhole principle; around each hit Myers' bit-parallel
     distance decides. The items, a stated query set, are matched against all rows in
-    passes of ITEMS_A_PASS, which bounds what is broadcast. Null and empty texts hold
+    passes of ITEMS_A_PASS, which bounds what is broadcast; what items share is counted
+    over all of them first, and items of one text count as one. Null and empty texts hold
     and leak nothing; repeated rows give one row.
     """
     spark = documents.sparkSession
     texts = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    passes = -(-texts.count() // ITEMS_A_PASS)
-    out = None
-    for k in range(passes):
-        rows = texts if passes == 1 else texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        parts = spark.sparkContext.broadcast(leaks.segments([(r.item_id, r.text) for r in rows.collect()]))
+    known = leaks.Items()
+    for r in texts.toLocalIterator():
+        known.add(r.item_id, r.text)
+    every, out = known.parts(), None
+    for k in range(0, len(every), ITEMS_A_PASS):
+        parts = spark.sparkContext.broadcast(every[k : k + ITEMS_A_PASS])
 
         def run(batches, parts=parts):
             finder = leaks.Finder(parts.value)

@@ -125,6 +125,14 @@ def test_leaks(spark):
     assert TX.leaked_items(d.limit(0), i).count() == 0 and TX.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_items_of_one_text(spark):
+    d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, ITEM), (5, ITEM.upper() + "!"), (2, OTHER)], "item_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == {(1, 1), (1, 5)}
+    near = spark.createDataFrame([(1, ITEM), (5, ITEM + " now"), (6, ITEM + " then")], "item_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, near).collect()} >= {(1, 1)}
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     monkeypatch.setattr(TX, "ITEMS_A_PASS", 1)
     d = spark.createDataFrame([(1, ITEM), (2, OTHER)], "doc_id long, text string")
