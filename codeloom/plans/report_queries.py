@@ -153,9 +153,15 @@ def bm25(s, d):
 
 
 def dense_topk(s, d):
+    """Cosines of the nodes that have a type other than symbol only, as its SQL has it; dense_all has those of all nodes."""
     return S.cosine(S.vectors(S.node_texts(nodes(s, d)).filter("type <> 'symbol'")), QUERY).select("id", F.round("sim", 6).alias("sim")).filter("sim > 0.05")
 
 
+def dense_all(s, d):
+    """Cosines over 0.05 of the query with the texts of all nodes, whatever their type."""
+    return S.cosine(S.vectors(S.node_texts(nodes(s, d))), QUERY).select("id", F.round("sim", 6).alias("sim")).filter("sim > 0.05")
+
+
 def hybrid_rrf(s, d):
     return S.hybrid_search(nodes(s, d), QUERY).select("id", F.round("bm25", 6).alias("bm25"), F.round("dense", 6).alias("dense"), F.round("score", 6).alias("score"))
 
@@ -365,7 +371,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         language_distribution, layer_distribution, test_ratio, patterns, module_coupling, complexity, complexity_summary, hotspots, maintainability, doc_gaps, doc_health, confidence_summary, evidence_merge, diff_edges, diff_by_type, diff_churn,
-        top_k_per_change, staleness, latest_per_key, changed_keys, generation_summary, stream_activity, tokenize_counts, fnv_hash, embedding_dims, synonym_expand, bm25, dense_topk, hybrid_rrf, vector_topk, module_of_path, language_of_path,
+        top_k_per_change, staleness, latest_per_key, changed_keys, generation_summary, stream_activity, tokenize_counts, fnv_hash, embedding_dims, synonym_expand, bm25, dense_topk, dense_all, hybrid_rrf, vector_topk, module_of_path, language_of_path,
         role_of_path, excluded_files, oversized_files, content_hash, symbols, imports, ddl_columns, ddl_foreign_keys, dockerfiles, yaml_keys, json_keys, markdown_headings, keyword_extract, structure_counts, file_modules, import_resolution,
         external_packages, model_tables, call_resolution, capability_chain, layer_groups, dependency_summary, seed_relevance, prompt_quality, schema_projection, service_dependencies,
         prompt_evidence, context_seeds, feature_context, feature_gaps, top_languages, status_metrics, tree_view, search_listing, file_stats, routes, project_directories,
@@ -494,6 +500,7 @@ ORACLE = {
     "synonym_expand": f"WITH {TERMS} SELECT term FROM terms",
     "bm25": f"WITH {NODES}, {TEXTS}, {TERMS}, {BM25} SELECT id, round(score, 6) AS score, n_terms FROM bm",
     "dense_topk": f"WITH {NODES}, {TEXTS}, src AS (SELECT id, text FROM texts WHERE type <> 'symbol'), {vec_cte('src', 'v')}, one AS (SELECT 'q' AS id, '{QUERY}' AS text), {vec_cte('one', 'k')} SELECT id, round(sim, 6) AS sim FROM (SELECT v.id, greatest(0, sum(v.w * k.w)) AS sim FROM v JOIN k ON k.dim = v.dim GROUP BY v.id) WHERE round(sim, 6) > 0.05",
+    "dense_all": f"WITH {NODES}, {TEXTS}, {vec_cte('texts', 'v')}, one AS (SELECT 'q' AS id, '{QUERY}' AS text), {vec_cte('one', 'k')} SELECT id, round(sim, 6) AS sim FROM (SELECT v.id, greatest(0, sum(v.w * k.w)) AS sim FROM v JOIN k ON k.dim = v.dim GROUP BY v.id) WHERE round(sim, 6) > 0.05",
     "hybrid_rrf": f"""WITH {NODES}, {TEXTS}, {TERMS}, {BM25}, src AS (SELECT id, text FROM texts WHERE id IN (SELECT id FROM bm) OR (SELECT count(*) FROM texts) < 500), {vec_cte('src', 'v')}, one AS (SELECT 'q' AS id, '{QUERY}' AS text), {vec_cte('one', 'k')},
         dn AS (SELECT v.id, greatest(0, sum(v.w * k.w)) AS sim FROM v JOIN k ON k.dim = v.dim GROUP BY v.id HAVING sum(v.w * k.w) > 0.05), a AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm WHERE score > 0), b AS (SELECT id, sim, row_number() OVER (ORDER BY sim DESC, id) AS r FROM dn),
         j AS (SELECT coalesce(a.id, b.id) AS id, coalesce(score, 0) AS bm25, coalesce(sim, 0) AS dense, 0.6 / (60 + coalesce(a.r, 1000)) + 0.4 / (60 + coalesce(b.r, 1000)) AS f FROM a FULL OUTER JOIN b ON a.id = b.id)
