@@ -139,10 +139,16 @@ def fnv_hash(s, d):
 
 
 def embedding_dims(s, d):
+    """Vectors of the names of modules, projects and repositories only, as its SQL has it; embedding_all has those of all node texts."""
     v = S.vectors(nodes(s, d).filter("type IN ('module', 'project', 'repository')").select("id", F.col("name").alias("text")).filter("text IS NOT NULL"))
     return v.select("id", "dim", F.round("w", 6).alias("w"))
 
 
+def embedding_all(s, d):
+    """The vectors of the texts of all nodes, whatever their type."""
+    return S.vectors(S.node_texts(nodes(s, d))).select("id", "dim", F.round("w", 6).alias("w"))
+
+
 def synonym_expand(s, d):
     return S.expand_terms(s, QUERY)
 
@@ -371,7 +377,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         language_distribution, layer_distribution, test_ratio, patterns, module_coupling, complexity, complexity_summary, hotspots, maintainability, doc_gaps, doc_health, confidence_summary, evidence_merge, diff_edges, diff_by_type, diff_churn,
-        top_k_per_change, staleness, latest_per_key, changed_keys, generation_summary, stream_activity, tokenize_counts, fnv_hash, embedding_dims, synonym_expand, bm25, dense_topk, dense_all, hybrid_rrf, vector_topk, module_of_path, language_of_path,
+        top_k_per_change, staleness, latest_per_key, changed_keys, generation_summary, stream_activity, tokenize_counts, fnv_hash, embedding_dims, embedding_all, synonym_expand, bm25, dense_topk, dense_all, hybrid_rrf, vector_topk, module_of_path, language_of_path,
         role_of_path, excluded_files, oversized_files, content_hash, symbols, imports, ddl_columns, ddl_foreign_keys, dockerfiles, yaml_keys, json_keys, markdown_headings, keyword_extract, structure_counts, file_modules, import_resolution,
         external_packages, model_tables, call_resolution, capability_chain, layer_groups, dependency_summary, seed_relevance, prompt_quality, schema_projection, service_dependencies,
         prompt_evidence, context_seeds, feature_context, feature_gaps, top_languages, status_metrics, tree_view, search_listing, file_stats, routes, project_directories,
@@ -497,6 +503,7 @@ ORACLE = {
     "tokenize_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({toks('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term",
     "fnv_hash": f"WITH {NODES} SELECT term, {fnv('term')} AS h0, {fnv('term', 42)} AS h42 FROM (SELECT DISTINCT unnest({toks('name')}) AS term FROM nodes WHERE name IS NOT NULL)",
     "embedding_dims": f"WITH {NODES}, src AS (SELECT id, name AS text FROM nodes WHERE type IN ('module', 'project', 'repository') AND name IS NOT NULL), {vec_cte('src', 'v')} SELECT id, dim, round(w, 6) AS w FROM v",
+    "embedding_all": f"WITH {NODES}, {TEXTS}, {vec_cte('texts', 'v')} SELECT id, dim, round(w, 6) AS w FROM v",
     "synonym_expand": f"WITH {TERMS} SELECT term FROM terms",
     "bm25": f"WITH {NODES}, {TEXTS}, {TERMS}, {BM25} SELECT id, round(score, 6) AS score, n_terms FROM bm",
     "dense_topk": f"WITH {NODES}, {TEXTS}, src AS (SELECT id, text FROM texts WHERE type <> 'symbol'), {vec_cte('src', 'v')}, one AS (SELECT 'q' AS id, '{QUERY}' AS text), {vec_cte('one', 'k')} SELECT id, round(sim, 6) AS sim FROM (SELECT v.id, greatest(0, sum(v.w * k.w)) AS sim FROM v JOIN k ON k.dim = v.dim GROUP BY v.id) WHERE round(sim, 6) > 0.05",

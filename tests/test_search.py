@@ -63,6 +63,12 @@ def want():
     return {i: vector(t) for i, t in texts.items()}
 
 
+def test_vectors_of_all_nodes(spark, folder, want):
+    got = {(r.id, r.dim): r.w for r in entry.queries()["embedding_all"](spark, folder).collect()}
+    assert got == pytest.approx({(i, d): w for i, v in want.items() for d, w in v.items()}, abs=1e-6)
+    assert {i for i, _ in got} == set(want) - {"e:1"}
+
+
 def test_cosines_of_all_nodes(spark, folder, want):
     q = vector(QUERY)
     sims = {i: sum(w * q.get(d, 0) for d, w in v.items()) for i, v in want.items()}
