@@ -12,6 +12,8 @@ import numpy as np
 LEAST, RATE = 12, 5
 #: Words of an exact piece. A passage of L words and L // 5 errors falls into L // 5 + 1 runs, one of which has three words or more.
 PIECE = 3
+#: Texts are near each other if the shorter one shares one in so many of its pieces with the other.
+NEAR = 3
 #: Passages of 24 words and more hold a shorter one within the rate, so longer ones need no look.
 LONGEST = 2 * LEAST - 1
 
@@ -33,38 +35,62 @@ class Items:
 
     def __init__(self):
         self.ids: dict[tuple, list[int]] = {}  # the words of each sentence of a text, and the items that have it
-        self.sentences: Counter = Counter()
-        self.words: Counter = Counter()
 
     def add(self, item: int, text: str) -> None:
-        key = tuple(tuple(words_of(s)) for s in _SENTENCES.split(text))
-        if key in self.ids:
-            self.ids[key].append(item)
-            return
-        self.ids[key] = [item]
-        self.sentences.update(set(key))
-        self.words.update({w for s in key for w in s})
+        self.ids.setdefault(tuple(tuple(words_of(s)) for s in _SENTENCES.split(text)), []).append(item)
+
+    def instructions(self) -> set[tuple]:
+        """Sentences that open several texts, all of which go on after them."""
+        opening = Counter(key[0] for key in self.ids)
+        return {s for s, n in opening.items() if n > 1} - {key[0] for key in self.ids if not any(key[1:])}
 
     def parts(self) -> list[tuple[list[int], list[str], set[str]]]:
-        """(items, words, own) of the stretches of each text that are its own.
+        """(items, words, own) of each text without its instruction.
 
-        Sentences that several texts share are left out. own: the words, numbers aside,
-        that no other text has; of a text without any, the words that fewest have.
+        own: the words, numbers aside, that no other text has but those that are near it;
+        of a text without any, the words that fewest have.
         """
+        instructions = self.instructions()
+        texts = [(ids, [w for s in (key[1:] if key[0] in instructions else key) for w in s]) for key, ids in self.ids.items()]
+        texts = [(ids, ws) for ids, ws in texts if len(ws) >= LEAST]
+        close = near([ws for _, ws in texts])
+        having: dict[str, set[int]] = {}
+        for k, (_, ws) in enumerate(texts):
+            for w in ws:
+                having.setdefault(w, set()).add(k)
         out = []
-        for key, ids in self.ids.items():
-            run: list[str] = []
-            for s in [*key, None]:
-                if s is None or self.sentences[s] > 1:
-                    if len(run) >= LEAST:
-                        fewest = min((self.words[w] for w in run if not w.isdigit()), default=0)
-                        out.append((ids, run, {w for w in run if self.words[w] == fewest and not w.isdigit()}))
-                    run = []
-                else:
-                    run = run + list(s)
+        for k, (ids, ws) in enumerate(texts):
+            names = {w for w in ws if not w.isdigit()}
+            fewest = min((len(having[w]) for w in names), default=0)
+            out.append((ids, ws, {w for w in names if having[w] <= close[k]} or {w for w in names if len(having[w]) == fewest}))
         return out
 
 
+def _runs(words: list[str], n: int) -> set[tuple]:
+    return {tuple(words[p : p + n]) for p in range(len(words) - n + 1)}
+
+
+def near(texts: list[list[str]]) -> list[set[int]]:
+    """Of each text, the texts (itself too) that share a passage of LEAST words with it as it stands, or one in NEAR of the pieces of the shorter one."""
+    close = [{k} for k in range(len(texts))]
+    having: dict[tuple, list[int]] = {}
+    for n in (LEAST, PIECE):
+        for k, ws in enumerate(texts):
+            for r in _runs(ws, n):
+                having.setdefault(r, []).append(k)
+    pieces = [sorted(_runs(ws, PIECE), key=lambda r: len(having[r])) for ws in texts]
+    for k, ws in enumerate(texts):
+        for r in _runs(ws, LEAST):
+            close[k].update(having[r])
+        # who shares so many pieces with a longer text shares one that is not of the commonest
+        rare = pieces[k][: len(pieces[k]) - -(-len(pieces[k]) // NEAR) + 1]
+        for x in {x for r in rare for x in having[r]} - close[k]:
+            if len(pieces[k]) <= len(pieces[x]) and NEAR * len(set(pieces[k]) & set(pieces[x])) >= len(pieces[k]):
+                close[k].add(x)
+                close[x].add(k)
+    return close
+
+
 def distance(masks: dict[int, int], m: int, text: list[int]) -> int:
     """Least edit distance of a pattern of m words to any stretch of `text` (Myers 1999). masks: per word, the bits of its places."""
     full = (1 << m) - 1
@@ -92,8 +118,8 @@ def distance(masks: dict[int, int], m: int, text: list[int]) -> int:
 class Finder:
     """All items' pieces in one index; one per task.
 
-    Items are told apart by their own words. What several items share, be it a whole
-    sentence or the same turns of phrase around other names, shows none of them.
+    Items are told apart by their own words, which items near each other have in common.
+    The same turns of phrase around other names show none of the items that share them.
     """
 
     def __init__(self, parts: list[tuple[list[int], list[str], set[str]]]):
@@ -148,11 +174,11 @@ class Finder:
                 if self.ids[k][0] in named:
                     seeds.setdefault(k, []).append((p, j))
         for k, hits in seeds.items():
-            if self.ids[k][0] not in found and self._holds(self.parts[k], words, hits):
+            if self.ids[k][0] not in found and self._holds(self.parts[k], self.ids[k][0], words, hits):
                 found.update(self.ids[k])
         return found
 
-    def _holds(self, item: list[int], words: list[int], hits: list[tuple[int, int]]) -> bool:
+    def _holds(self, item: list[int], first_id: int, words: list[int], hits: list[tuple[int, int]]) -> bool:
         """Whether a passage of the item lies around one of the exact pieces (place in item, place in text).
 
         A passage begins and ends with a word that is there, and names the item by one of its own words.
@@ -168,7 +194,7 @@ class Finder:
             for w in item[first:last]:
                 here = w in there
                 flags.append(flags[-1] + here)
-                owned.append(owned[-1] + (here and w in own))
+                owned.append(owned[-1] + (here and first_id in own.get(w, ())))
             for size in range(LEAST, LONGEST + 1):
                 errors = size // RATE
                 for s in range(max(first, p + PIECE - size), min(p, last - size) + 1):

@@ -96,7 +96,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     must hold one by the pigeonhole principle; around each hit Myers' bit-parallel
     distance decides. The items, a stated query set, are matched against all rows in
     passes of ITEMS_A_PASS, which bounds what is broadcast; what items share is counted
-    over all of them first, and items of one text count as one. Null and empty texts hold
+    over all of them first, items of one text count as one, and those near each other are found together. Null and empty texts hold
     and leak nothing; repeated rows give one row.
     """
     spark = documents.sparkSession

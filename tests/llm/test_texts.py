@@ -133,6 +133,25 @@ def test_items_of_one_text(spark):
     assert {tuple(r) for r in TX.leaked_items(d, near).collect()} >= {(1, 1)}
 
 
+def test_items_near_each_other(spark):
+    quiz = "Read the note and name the part that has to change before it can be closed. "
+    w = ITEM.split()
+    changed = " ".join("changed" if k in (5, 11, 17) else x for k, x in enumerate(w))
+    ask = "What would the operator of such a planner have to watch for during the {}?"
+    items = [(1, ITEM), (5, ITEM + " now"), (6, ITEM + " then"), (7, changed), (8, ITEM + ". It is {} only then.".format("paid")), (9, ITEM + ".")]
+    items += [(11, f"{quiz}{OTHER}. {ask.format('night')}"), (12, f"Say why. {OTHER}. {ask.format('flood')}"), (13, f"{quiz}Nothing of the sort is told of {' '.join(map('q{}'.format, range(12)))}.")]
+    d = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, quiz * 2)], "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == {(1, k) for k in (1, 5, 6, 7, 8, 9)} | {(2, 11), (2, 12)}
+
+
+def test_turns_of_phrase_show_no_item(spark):
+    phrase = "If {} cannot reach the placid {} host before {} beats, all entries under {} fade after {} hours"
+    i = spark.createDataFrame([(1, phrase.format("Leraye", "Bazicleye", 924, "Kakaba", 88)), (2, phrase.format("Tribaye", "Diyerapu", 907, "Vodise", 602))], "item_id long, text string")
+    d = spark.createDataFrame([(1, phrase.format("Leraye", "Bazicleye", 924, "Kakaba", 88))], "doc_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == {(1, 1)}
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     monkeypatch.setattr(TX, "ITEMS_A_PASS", 1)
     d = spark.createDataFrame([(1, ITEM), (2, OTHER)], "doc_id long, text string")
