@@ -21,7 +21,7 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>(?:\\[nr]|
 # What a line with a credential holds at least one of, in lower case.
 TRIGGERS = (
     "pass pwd secret token key cred psk auth bearer login signature sig= @ akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat sk_live sk_test rk_live rk_test xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- npm_ pypi- sg. hf_ dop_v1 ya29 eyj"
-).split() + ["basic ", "identified by", "-u ", '="', "='", "=`", "=\n", "code="]
+).split() + ["basic", "identified", "-u ", "-u=", "--user", '="', "='", "=`", "=\n", "code="]
 
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _PLACE = re.compile(
@@ -125,7 +125,7 @@ HEADER = re.compile(r"(?i)\b(?P<kind>bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.
 SQL = re.compile(r"(?i)\b(?:password|identified\s+by|secret)\s+(?:=\s*)?'(?P<v>[^'\n]+)'")
 OPTION = re.compile(r"(?i)(?<![\w-])(?:--?(?:[\w-]*?(?:password|passwd|token|secret|api-?key|access-?key|passphrase|pwd)|pass)(?:=|\s+)|-D[\w.]*?\.?(?:password|passwd|pass|secret|key|token|pwd)=|(?:-u|--user)[= ]\s*[\w.@-]+:|sshpass\s+-p\s*)[\"']?(?P<v>[^\s\"']+)")
 SAID = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pass(?=\s*[:=])|pwd|login|credentials?|creds|secret|token|api[- ]?key|access[- ]?key|key)\b(?:[^\n\"'`=:/]{0,40}?)(?:\s*[:=/]\s*|\s+(?:is|was)\s+)(?:[\w.@-]+\s*[/:]\s*)?[\"'`]?(?P<v>[^\s\"'`,;]{6,})[\"'`.,;)]?")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
 _LAST = re.compile(r"(?i)(?:password|passwd|pwd|pass|secret|token|key|credentials?|passphrase)(?:[._-]?(?:eu|us|main|old|new|prod|dev|ro|rw|\d+))?$")
 _JOINT = re.compile(r"(?P<q>[\"'`])\s*(?:\+|\.{1,2}|&|\|\||\\)?\s*(?P=q)")
 _COMMENTED = re.compile(r"^\s*(?://|#|--|\*|/\*|<!--|;|>|rem\b|%|\"\"\"|''')|\s(?://|#|--)\s", re.I)
@@ -212,11 +212,16 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def _trigger_places(text: str, triggers: ahocorasick.Automaton):
+    """Where a line has to be looked at: trigger phrases, literals that are split, encoded texts that may hold a credential."""
     low = text.lower()
     if len(low) != len(text):  # a few letters are longer in lower case: only ASCII is folded then
         low = text.translate(_FOLD)
-    for end, n in triggers.iter(low):
-        yield end - n + 1
+    places = [end - n + 1 for end, n in triggers.iter(low)]
+    places += [m.start() for m in _JOINT.finditer(text)]
+    for m in ENCODED.finditer(text):
+        if (t := _printable(m[0])) and (TOKENS.search(t) or URL.search(t) or CONNECTION.search(t)):
+            places.append(m.start())
+    return sorted(places)
 
 
 def find_secrets(text: str | None, plain: bool, words: frozenset[str], triggers: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
