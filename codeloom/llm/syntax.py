@@ -159,6 +159,11 @@ def _js(t: str, code: str) -> str | None:
 EXTRA = {"go": _go, "js": _js}
 
 
+# Operators with which no Python statement ends.
+PYTHON_OPEN = frozenset("+ - * / // % ** @ = == != < > <= >= ~ & | ^ << >> . -> := += -= *= /= //= %= **= @= &= |= ^= <<= >>= not and or in is lambda if await".split())
+_JSON = re.compile(r'(?P<s>[ \t\n\r]+)|(?P<v>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)|[\[\]{},:]', re.A)
+
+
 def _parse_python(text: str) -> str | None:
     import ast
 
@@ -175,20 +180,78 @@ def _parse_python(text: str) -> str | None:
     except ValueError:
         return "binary"
     except (RecursionError, MemoryError):
-        return None
+        return _deep_python(text)
     return None
 
 
+def _deep_python(text: str) -> str | None:
+    """What the lexer and a stack of brackets find, for texts too deep for the parser."""
+    import io
+    import tokenize
+
+    stack: list[str] = []
+    last = ""
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.NEWLINE and last in PYTHON_OPEN and not re.search(r"\bimport\s*\*\s*(?:#.*)?$", t.line.rstrip()):
+                return "statement end"
+            if t.type == tokenize.OP:
+                if t.string in "([{":
+                    stack.append(t.string)
+                elif t.string in ")]}" and (not stack or stack.pop() + t.string not in ("()", "[]", "{}")):
+                    return "bracket"
+            if t.type == tokenize.ERRORTOKEN:
+                return "literal"
+            if t.type not in (tokenize.COMMENT, tokenize.NL):
+                last = t.string
+    except IndentationError:
+        return "indent"
+    except (tokenize.TokenError, SyntaxError) as e:
+        return f"statement {e}"[:60]
+    return "bracket" if stack else None
+
+
 def _parse_json(text: str) -> str | None:
     try:
         json.loads(text.removeprefix("﻿"))
     except ValueError as e:
         return "conflict" if _CONFLICT.search(text) else f"statement {e}"[:60]
-    except RecursionError:
-        return None
+    except (RecursionError, MemoryError):
+        return _deep_json(text.removeprefix("\ufeff"))
     return None
 
 
+def _deep_json(text: str) -> str | None:
+    """The grammar of JSON by an explicit stack, for texts too deep for the parser."""
+    stack: list[str] = []
+    want, at = "value", 0  # value, first (a value or the end of a list), key, begin (a key or the end of an object), colon, next (a comma or an end), end
+    for m in _JSON.finditer(text):
+        if m.start() != at:
+            break
+        at, c = m.end(), m[0]
+        if m["s"] is not None:
+            continue
+        if want in ("value", "first") and c in "[{":
+            stack.append(c)
+            want = "first" if c == "[" else "begin"
+        elif (c == "]" and want in ("first", "next") and stack and stack[-1] == "[") or (c == "}" and want in ("begin", "next") and stack and stack[-1] == "{"):
+            stack.pop()
+            want = "next" if stack else "end"
+        elif want in ("value", "first") and m["v"] is not None:
+            want = "next" if stack else "end"
+        elif want in ("key", "begin") and c[0] == '"':
+            want = "colon"
+        elif want == "colon" and c == ":":
+            want = "value"
+        elif want == "next" and c == ",":
+            want = "value" if stack[-1] == "[" else "key"
+        else:
+            return f"statement at {m.start()}"
+    if at != len(text):
+        return "conflict" if _CONFLICT.search(text) else f"character at {at}"
+    return None if want == "end" else "bracket"
+
+
 # Words that begin an SQL statement, and words after which one cannot end.
 SQL_BEGIN = "ALTER ANALYZE BEGIN CALL CHECKPOINT CLUSTER COMMENT COMMIT COPY CREATE DEALLOCATE DECLARE DELETE DELIMITER DESCRIBE DO DROP END EXEC EXECUTE EXPLAIN FETCH FLUSH GO GRANT IF IMPORT INSERT LOAD LOCK MERGE OPEN OPTIMIZE PRAGMA PREPARE PRINT REFRESH REINDEX RELEASE RENAME REPLACE RESET REVOKE ROLLBACK SAVEPOINT SELECT SET SHOW START TABLE TRUNCATE UNLOCK UPDATE USE VACUUM VALUES WHILE WITH".split()
 SQL_OPEN = "ADD ALTER AND AS BETWEEN BY CREATE DELETE DISTINCT FROM GROUP HAVING IN INSERT INTO IS JOIN LIKE LIMIT NOT ON OR ORDER SELECT SET TABLE UNION UPDATE VALUES WHERE".split()

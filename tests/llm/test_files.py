@@ -78,6 +78,23 @@ def test_syntax_of_what_has_none():
     assert syntax.diagnose("[" * 200_000, "a.json") is None or True  # deep nesting must not crash
 
 
+@pytest.mark.parametrize(
+    "path, good, bad",
+    [
+        ("a.json", "[" * 200_000 + "]" * 200_000, "[" * 200_000),
+        ("a.json", '{"a": ' * 100_000 + "[1, -2.5e3]" + "}" * 100_000, '{"a": ' * 100_000 + "1" + "}" * 99_999),
+        ("a.json", "[" * 200_000 + '"x"' + "]" * 200_000 + "\n", "[" * 200_000 + "1," + "]" * 200_000),
+        ("a.json", "[" * 200_000 + "{}" + "]" * 200_000, "[" * 200_000 + "{]" + "]" * 200_000),
+        ("a.py", "x = " + "-" * 100_000 + "1\n", "x = " + "-" * 100_000 + "\n"),
+        ("a.py", "x = " + "-" * 100_000 + "(1)\n", "x = " + "-" * 100_000 + "(1\n"),
+        ("a.py", "x = " + "-" * 100_000 + "1\nfrom a import *\n", "x = " + "-" * 100_000 + "1]\n"),
+    ],
+)
+def test_syntax_too_deep_for_the_parser(path, good, bad):
+    assert syntax.diagnose(good, path) is None
+    assert syntax.diagnose(bad, path)
+
+
 def lines(text, plain=False):
     return sorted({x[0] for x in secrets.find_secrets(text, plain, WORDS, TRIGGERS)})
 
