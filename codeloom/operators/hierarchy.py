@@ -194,9 +194,17 @@ def paths(edges: DataFrame, kind: str = "contains", sep: str = " > ") -> DataFra
 def descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
     """id, root_id, entry, leave: y lies below x exactly if both have one root_id and x.leave <= y.leave, y.entry < x.entry.
 
-    Positions count the ids from an entry or exit to the end of the tour, so they
-    fall along it; ids without children take their parent's place and are found by
-    their parent.
+    All ids outside loops have a row. Positions count the ids from an entry or exit to
+    the end of the tour, so they fall along it; ids without children share the first
+    place after their parent's entry, where no other id is.
     """
     f = build_forest(edges, kind)
-    return f.inner.filter("NOT looped").join(f.ids.select("k", "id"), "k").select("id", "root_id", "depth", "entry", "leave")
+    own = f.inner.select("k", "looped", "root_id", "depth", "entry", "leave")
+    rows = f.ids.select("k", "pk", "id").join(own, "k", "left")
+    inner = rows.filter("root_id IS NOT NULL AND NOT looped").select("id", "root_id", "depth", "entry", "leave")
+    over = own.select(F.col("k").alias("pk"), "looped", "root_id", (F.col("depth") + 1).alias("depth"), (F.col("entry") - 1).alias("entry"), (F.col("entry") - 2).alias("leave"))
+    leaves = rows.filter("root_id IS NULL").select("id", "pk").join(over, "pk", "left").filter("looped IS NULL OR NOT looped")
+    # an id whose edges were all ignored is a tree of its own
+    alone = lambda c, v: F.coalesce(c, v).alias(c)
+    leaves = leaves.select("id", alone("root_id", F.col("id")), alone("depth", F.lit(0)), alone("entry", F.lit(1).cast("long")), alone("leave", F.lit(0).cast("long")))
+    return inner.unionByName(leaves)

@@ -33,10 +33,16 @@ def p6_paths(spark, d):
 
 
 def p6_intervals(spark, d):
-    return H.descendants(load(spark, d, "graph_edges")).select("id", "root_id", "depth", (H.F.col("entry") - H.F.col("leave") - 1).alias("n_descendants"))
+    """The ids with children only, as its SQL has it; p6_descendants has all ids with their positions."""
+    return H.descendants(load(spark, d, "graph_edges")).select("id", "root_id", "depth", (H.F.col("entry") - H.F.col("leave") - 1).alias("n_descendants")).filter("n_descendants > 0")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_summary, p6_found, p6_paths, p6_intervals)}
+def p6_descendants(spark, d):
+    """All ids outside loops, with the positions from which the descendants of each can be read."""
+    return H.descendants(load(spark, d, "graph_edges"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_summary, p6_found, p6_paths, p6_intervals, p6_descendants)}
 
 # A white-space class that both engines read alike is spelled out here.
 _CLEAN = r"nullif(replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\', '/'), '')"
