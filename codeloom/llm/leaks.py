@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 
@@ -12,15 +12,28 @@ import numpy as np
 LEAST, RATE = 12, 5
 #: Words of an exact piece. A passage of L words and L // 5 errors falls into L // 5 + 1 runs, one of which has three words or more.
 PIECE = 3
-#: Texts are near each other if the shorter one shares one in so many of its pieces with the other.
-NEAR = 3
+#: Exact pieces that any passage shares with its text at least: L - PIECE + 1 of them, of which an error spoils PIECE at most.
+SHARED = LEAST - PIECE + 1 - PIECE * (LEAST // RATE)
 #: Passages of 24 words and more hold a shorter one within the rate, so longer ones need no look.
 LONGEST = 2 * LEAST - 1
+#: The shortest passages for each number of errors: every passage holds one of them with no more errors.
+SHORTEST = tuple(max(LEAST, RATE * e) for e in range(LEAST // RATE, LONGEST // RATE + 1))
+#: Most words of a passage as it stands in a document, with words added.
+REACH = LONGEST + LONGEST // RATE
+#: Texts are read in stretches of so many words, each beginning STEP words after the one before: any passage lies whole in one.
+STRETCH, STEP = 128, 96
+#: A text that has one in so many of an item's pieces is near it as a whole.
+NEAR = 3
+#: Words of the windows over which items compete, and the most errors in one that matter.
+WINDOW, WINDOW_ERRORS = LEAST, LONGEST // RATE
+#: Hashes of words a task remembers; beyond it the memory begins anew.
+REMEMBERED = 1_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>|#*+\-/;%!]|//+|--)+[ \t]*)*(?:\d{1,5}[.:)|\]][ \t]+)?", re.M)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: str) -> list[str]:
@@ -30,181 +43,159 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(_PREFIX.sub("", text).lower())
 
 
-class Items:
-    """What all items say, and how many say it: items of one text count as one."""
-
-    def __init__(self):
-        self.ids: dict[tuple, list[int]] = {}  # the words of each sentence of a text, and the items that have it
-
-    def add(self, item: int, text: str) -> None:
-        self.ids.setdefault(tuple(tuple(words_of(s)) for s in _SENTENCES.split(text)), []).append(item)
-
-    def instructions(self) -> set[tuple]:
-        """Sentences that open several texts, all of which go on after them."""
-        opening = Counter(key[0] for key in self.ids)
-        return {s for s, n in opening.items() if n > 1} - {key[0] for key in self.ids if not any(key[1:])}
-
-    def parts(self) -> list[tuple[list[int], list[str], set[str]]]:
-        """(items, words, own) of each text without its instruction.
-
-        own: the words, numbers aside, that no other text has but those that are near it;
-        of a text without any, the words that fewest have.
-        """
-        instructions = self.instructions()
-        texts = [(ids, [w for s in (key[1:] if key[0] in instructions else key) for w in s]) for key, ids in self.ids.items()]
-        texts = [(ids, ws) for ids, ws in texts if len(ws) >= LEAST]
-        close = near([ws for _, ws in texts])
-        having: dict[str, set[int]] = {}
-        for k, (_, ws) in enumerate(texts):
-            for w in ws:
-                having.setdefault(w, set()).add(k)
-        out = []
-        for k, (ids, ws) in enumerate(texts):
-            names = {w for w in ws if not w.isdigit()}
-            fewest = min((len(having[w]) for w in names), default=0)
-            out.append((ids, ws, {w for w in names if having[w] <= close[k]} or {w for w in names if len(having[w]) == fewest}))
-        return out
-
-
-def _runs(words: list[str], n: int) -> set[tuple]:
-    return {tuple(words[p : p + n]) for p in range(len(words) - n + 1)}
-
-
-def near(texts: list[list[str]]) -> list[set[int]]:
-    """Of each text, the texts (itself too) that share a passage of LEAST words with it as it stands, or one in NEAR of the pieces of the shorter one."""
-    close = [{k} for k in range(len(texts))]
-    having: dict[tuple, list[int]] = {}
-    for n in (LEAST, PIECE):
-        for k, ws in enumerate(texts):
-            for r in _runs(ws, n):
-                having.setdefault(r, []).append(k)
-    pieces = [sorted(_runs(ws, PIECE), key=lambda r: len(having[r])) for ws in texts]
-    for k, ws in enumerate(texts):
-        for r in _runs(ws, LEAST):
-            close[k].update(having[r])
-        # who shares so many pieces with a longer text shares one that is not of the commonest
-        rare = pieces[k][: len(pieces[k]) - -(-len(pieces[k]) // NEAR) + 1]
-        for x in {x for r in rare for x in having[r]} - close[k]:
-            if len(pieces[k]) <= len(pieces[x]) and NEAR * len(set(pieces[k]) & set(pieces[x])) >= len(pieces[k]):
-                close[k].add(x)
-                close[x].add(k)
-    return close
-
-
-def distance(masks: dict[int, int], m: int, text: list[int]) -> int:
-    """Least edit distance of a pattern of m words to any stretch of `text` (Myers 1999). masks: per word, the bits of its places."""
-    full = (1 << m) - 1
-    top = 1 << (m - 1)
-    pv, mv, score, least = full, 0, m, m
+class Hashes(dict):
+    """64-bit numbers of words, as Spark holds them."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def text_key(words: np.ndarray) -> int:
+    """A number that tells texts of other words apart."""
+    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def sentences_of(text: str, hashes: Hashes) -> list[np.ndarray]:
+    return [hashes.of(words_of(s)) for s in _SENTENCES.split(text)]
+
+
+def piece_keys(words: np.ndarray) -> np.ndarray:
+    """A number for each PIECE words in a row, order counting."""
+    w = words.view(np.uint64)
+    n = max(len(w) - PIECE + 1, 0)
+    key = np.zeros(n, np.uint64)
+    for k in range(PIECE):
+        key = (key ^ (key >> np.uint64(29))) * _B + w[k : n + k] * _A
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def stretches_of(n: int) -> list[tuple[int, int]]:
+    """The stretches of a text of n words."""
+    return [(a, min(a + STRETCH, n)) for a in range(0, max(n - STRETCH + STEP, 1), STEP)]
+
+
+def suspects(words: np.ndarray, known: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Stretches in which SHARED pieces, near enough for one passage, may be pieces of an item.
+
+    known: a bitmap of the items' piece keys by their first `bits` bits, 32 of them a number.
+    """
+    if len(words) < LEAST - LEAST // RATE:
+        return []
+    slot = piece_keys(words).view(np.uint64) >> np.uint64(64 - bits)
+    at = np.nonzero((known[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1))[0]
+    first, last = at[: len(at) - SHARED + 1], at[SHARED - 1 :]
+    near = last - first <= REACH - PIECE
+    if not near.any():
+        return []
+    first, last = first[near], last[near] + PIECE
+    return [(a, b) for a, b in stretches_of(len(words)) if ((first >= a) & (last <= b)).any()]
+
+
+def distances(patterns: list[int], size: int, text: list[int]) -> np.ndarray:
+    """Least edit distances (Myers 1999) of all runs of `size` words of `patterns` to what ends at each word of `text`.
+
+    All runs are matched at once: each has its own 32 bits of one long number, of
+    which the lowest `size` (31 at most) are its column of differences. Rows of the
+    result are the words of the text, columns the first words of the runs.
+    """
+    lanes = len(patterns) - size + 1
+    ones = ((1 << (32 * lanes)) - 1) // 0xFFFFFFFF
+    full = ones * ((1 << size) - 1)
+    top = ones << (size - 1)
+    stair = sum(1 << (32 * (size - 1 - k) + k) for k in range(size))
+    masks: dict[int, int] = {}
+    for p, w in enumerate(patterns):
+        by = 32 * (p - size + 1)
+        masks[w] = masks.get(w, 0) | ((stair << by if by >= 0 else stair >> -by) & full)
+    pv, mv, n = full, 0, 4 * lanes
+    up, down = [], []
     for w in text:
         eq = masks.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
+        xh &= full
+        ph = mv | (full ^ ((xh | pv) & full))
         mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph <<= 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & full
-        mv = ph & xv & full
-        if score < least:
-            least = score
-    return least
-
-
-class Finder:
-    """All items' pieces in one index; one per task.
-
-    Items are told apart by their own words, which items near each other have in common.
-    The same turns of phrase around other names show none of the items that share them.
+        up.append((ph & top).to_bytes(n, "little"))
+        down.append((mh & top).to_bytes(n, "little"))
+        ph = (ph << 1) & full
+        mh = (mh << 1) & full
+        pv = mh | (full ^ ((xv | ph) & full))
+        mv = ph & xv
+    shape = (len(text), lanes)
+    steps = (np.frombuffer(b"".join(up), np.uint32) != 0).astype(np.int16) - (np.frombuffer(b"".join(down), np.uint32) != 0)
+    return size + np.cumsum(steps.reshape(shape), axis=0)
+
+
+def passage_ends(item: list[int], text: list[int]) -> np.ndarray | None:
+    """For each window of `text` whether it lies in a passage of the item, or one in it; None if there is no passage.
+
+    A passage begins and ends with a word that is there. Of the lengths that SHORTEST
+    leaves out only the first that has a passage is looked at, where those have none.
     """
-
-    def __init__(self, parts: list[tuple[list[int], list[str], set[str]]]):
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in parts for w in ws}))}
-        self.ids = [ids for ids, _, _ in parts]
-        self.parts = [[self.vocabulary[w] for w in ws] for _, ws, _ in parts]
-        self.base = base = len(self.vocabulary) + 1
-        index: dict[int, list[tuple[int, int]]] = {}
-        for k, ws in enumerate(self.parts):
-            for p in range(len(ws) - PIECE + 1):
-                key = 0
-                for w in ws[p : p + PIECE]:
-                    key = key * base + w
-                index.setdefault(key, []).append((k, p))
-        self.index = index
-        self.keys = np.array(sorted(index), dtype=np.int64)
-        self.own: dict[int, set[int]] = {}  # the first items of the texts whose own word it is
-        for ids, _, own in parts:
-            for w in own:
-                self.own.setdefault(self.vocabulary[w], set()).add(ids[0])
-
-    def find(self, text: str | None) -> set[int]:
-        """The items of which `text` holds a passage."""
-        if not text:
-            return set()
-        get = self.vocabulary.get
-        words = [get(w, -1) for w in words_of(text)]
-        if len(words) < LEAST - LEAST // RATE:
-            return set()
-        a = np.array(words, dtype=np.int64)
-        n = len(a) - PIECE + 1
-        known = a >= 0
-        named = set().union(*(self.own[w] for w in self.own.keys() & set(words)))
-        if not named:
-            return set()
-        ok = known[:n].copy()
-        key = a[:n].copy()
-        for k in range(1, PIECE):
-            ok &= known[k : n + k]
-            key = key * self.base + a[k : n + k]
-        at = np.nonzero(ok)[0]
-        if not len(at):
-            return set()
-        key = key[at]
-        hit = np.searchsorted(self.keys, key)
-        hit[hit == len(self.keys)] = 0
-        sure = self.keys[hit] == key
-        found: set[int] = set()
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for j, x in zip(at[sure].tolist(), key[sure].tolist()):
-            for k, p in self.index[x]:
-                if self.ids[k][0] in named:
-                    seeds.setdefault(k, []).append((p, j))
-        for k, hits in seeds.items():
-            if self.ids[k][0] not in found and self._holds(self.parts[k], self.ids[k][0], words, hits):
-                found.update(self.ids[k])
-        return found
-
-    def _holds(self, item: list[int], first_id: int, words: list[int], hits: list[tuple[int, int]]) -> bool:
-        """Whether a passage of the item lies around one of the exact pieces (place in item, place in text).
-
-        A passage begins and ends with a word that is there, and names the item by one of its own words.
-        """
-        n, own = len(item), self.own
-        reach = LONGEST + LONGEST // RATE
-        for p, j in hits:
-            lo, hi = max(0, j - reach), min(len(words), j + PIECE + reach)
-            region = words[lo:hi]
-            there = set(region)
-            first, last = max(0, p - LONGEST + PIECE), min(n, p + LONGEST)
-            flags, owned = [0], [0]
-            for w in item[first:last]:
-                here = w in there
-                flags.append(flags[-1] + here)
-                owned.append(owned[-1] + (here and first_id in own.get(w, ())))
-            for size in range(LEAST, LONGEST + 1):
-                errors = size // RATE
-                for s in range(max(first, p + PIECE - size), min(p, last - size) + 1):
-                    x, y = s - first, s + size - first
-                    if flags[y] - flags[x] < size - errors or owned[y] == owned[x] or item[s] not in there or item[s + size - 1] not in there:
-                        continue
-                    masks: dict[int, int] = {}
-                    for b, w in enumerate(item[s : s + size]):
-                        masks[w] = masks.get(w, 0) | (1 << b)
-                    begin = max(0, j - (p - s) - errors - lo)
-                    if distance(masks, size, region[begin : begin + size + 2 * errors + 1]) <= errors:
-                        return True
-        return False
+    n, m = len(text), len(item)
+    ends = {size: distances(item, size, text) <= size // RATE for size in SHORTEST if size <= m}
+    if not any(e.any() for e in ends.values()):
+        return None
+    there = set(text)
+    here = np.array([w in there for w in item])
+    width = min(WINDOW, n)
+    inside, found = np.zeros(n - width + 1, bool), False
+    for size in (*SHORTEST, *(x for x in range(LEAST, LONGEST + 1) if x not in SHORTEST)):
+        if size > m or (found and size not in SHORTEST):
+            continue
+        e = ends[size] if size in ends else distances(item, size, text) <= size // RATE
+        for j in np.nonzero((e & here[: m - size + 1] & here[size - 1 :]).any(axis=1))[0].tolist():
+            found = True
+            inside[max(0, min(j - size + 1, j - width + 1)) : max(j - size + 1, j - width + 1) + 1] = True
+    return inside if found else None
+
+
+def regions(at: list[int], place: list[int], n: int, m: int) -> list[tuple[int, int, int, int]]:
+    """Where passages may be: (from, to) in the text of n words and (from, to) in the item's part of m words.
+
+    at, place: shared pieces by their places in text and item, in order of the text.
+    SHARED of them must lie near enough for one passage, and as far apart in the item
+    as in the text, but for its errors.
+    """
+    out: list[list[int]] = []
+    slack = LONGEST // RATE
+    for k in range(len(at) - SHARED + 1):
+        a, shift = at[k], at[k] - place[k]
+        same, last, end = 1, a, place[k]
+        for x in range(k + 1, len(at)):
+            if at[x] - a > REACH - PIECE:
+                break
+            if abs(at[x] - place[x] - shift) <= slack:
+                same, last, end = same + (at[x] > last), at[x], max(end, place[x])
+        if same >= SHARED:
+            r = [max(0, a - REACH), min(n, last + PIECE + REACH), max(0, place[k] - LONGEST - slack), min(m, end + PIECE + LONGEST)]
+            if out and r[0] <= out[-1][1] and r[2] <= out[-1][3] and out[-1][2] <= r[3]:
+                p = out[-1]
+                out[-1] = [p[0], max(p[1], r[1]), min(p[2], r[2]), max(p[3], r[3])]
+            else:
+                out.append(r)
+    return [tuple(r) for r in out]
+
+
+def compare(item: list[int], text: list[int], spans: list[tuple[int, int, int, int]]) -> tuple[bool, list[tuple[int, int, bool]]]:
+    """Whether `text` holds a passage of the item within `spans`, and (place, errors, inside) of each window of `text` that is much like it.
+
+    inside: the window lies in a passage of the item.
+    """
+    holds, like = False, {}
+    for x, y, a, b in spans:
+        here, part = text[x:y], item[a:b]
+        inside = passage_ends(part, here)
+        holds |= inside is not None
+        errors = distances(here, min(WINDOW, len(here)), part).min(axis=0)
+        for w in np.nonzero(errors <= WINDOW_ERRORS)[0].tolist():
+            e, i = like.get(x + w, (WINDOW, False))
+            like[x + w] = (min(e, int(errors[w])), i or (inside is not None and bool(inside[w])))
+    return holds, [(w, e, i) for w, (e, i) in sorted(like.items())]

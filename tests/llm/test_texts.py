@@ -152,11 +152,37 @@ def test_turns_of_phrase_show_no_item(spark):
     assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == {(1, 1)}
 
 
-def test_leaks_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(TX, "ITEMS_A_PASS", 1)
-    d = spark.createDataFrame([(1, ITEM), (2, OTHER)], "doc_id long, text string")
+def test_leaks_with_any_map(spark):
+    d = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, "x " * 700 + ITEM + " y" * 700)], "doc_id long, text string")
     i = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, "short")], "item_id long, text string")
-    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == {(1, 1), (2, 2)}
+    for bits in (6, 24):  # the smallest map lets nearly everything through
+        assert {tuple(r) for r in TX.leaked_items(d, i, bits).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+@pytest.mark.parametrize("n", [240, 1000, 5000])
+def test_passages_word_for_word(spark, n):
+    """Twenty words of an item among others are found however many items there are, and only where one stands."""
+    rng = random.Random(n)
+    weights = [1 / k for k in range(1, 20_001)]
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    items = [rng.choices(vocabulary, weights, k=60) for _ in range(n)]
+    docs, true = [], set()
+    for doc in range(300):
+        k, at = rng.randrange(n), rng.randrange(40)
+        docs.append((doc, " ".join(rng.choices(vocabulary, weights, k=150) + items[k][at : at + 20] + rng.choices(vocabulary, weights, k=150))))
+        true.add((doc, k))
+    docs += [(1000 + k, " ".join(rng.choices(vocabulary, weights, k=300))) for k in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} == true
+
+
+def test_a_shared_turn_counts_for_none_that_is_farther(spark):
+    """Of two items with one frame, a copy with errors shows the nearer one; word for word it shows both."""
+    frame = "whenever the {} planner replays a pending {} move the {} host writes one silver line and rests"
+    i = spark.createDataFrame([(1, "Zorvex says so, and " + frame.format("blue", "tall", "kind")), (2, "Nobody else did it. " + frame.format("gray", "thin", "wise")), (3, "again and again " + frame.format("blue", "tall", "kind") + " at noon")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "we heard: " + frame.format("blue", "tall", "kind").replace("pending", "settled"))], "doc_id long, text string")
+    assert {tuple(r) for r in TX.leaked_items(d, i).collect()} >= {(1, 1), (1, 3)}
 
 
 def brute(pattern, text):
@@ -169,11 +195,11 @@ def brute(pattern, text):
     return min(row)
 
 
-def test_distance_against_brute_force():
+def test_distances_against_brute_force():
     rng = random.Random(1)
     for _ in range(300):
-        p, t = [rng.randrange(4) for _ in range(rng.randrange(1, 20))], [rng.randrange(4) for _ in range(rng.randrange(0, 40))]
-        masks = {}
-        for k, x in enumerate(p):
-            masks[x] = masks.get(x, 0) | (1 << k)
-        assert leaks.distance(masks, len(p), t) == brute(p, t)
+        p, t = [rng.randrange(4) for _ in range(rng.randrange(1, 30))], [rng.randrange(4) for _ in range(rng.randrange(1, 40))]
+        size = rng.randrange(1, min(len(p), 31) + 1)
+        got = leaks.distances(p, size, t)
+        for s in range(len(p) - size + 1):
+            assert min(size, got[:, s].min()) == brute(p[s : s + size], t)
