@@ -100,37 +100,41 @@ def suspects(words: np.ndarray, known: np.ndarray, bits: int) -> list[tuple[int,
 def distances(patterns: list[int], size: int, text: list[int]) -> np.ndarray:
     """Least edit distances (Myers 1999) of all runs of `size` words of `patterns` to what ends at each word of `text`.
 
-    All runs are matched at once: each has its own 32 bits of one long number, of
-    which the lowest `size` (31 at most) are its column of differences. Rows of the
+    All runs are matched at once: each has its own 16 or 32 bits of one long number,
+    of which the lowest `size` (31 at most) are its column of differences. Rows of the
     result are the words of the text, columns the first words of the runs.
     """
+    width, kind = (16, np.uint16) if size < 16 else (32, np.uint32)
     lanes = len(patterns) - size + 1
-    ones = ((1 << (32 * lanes)) - 1) // 0xFFFFFFFF
+    ones = ((1 << (width * lanes)) - 1) // ((1 << width) - 1)
     full = ones * ((1 << size) - 1)
     top = ones << (size - 1)
-    stair = sum(1 << (32 * (size - 1 - k) + k) for k in range(size))
+    stair = sum(1 << (width * (size - 1 - k) + k) for k in range(size))
     masks: dict[int, int] = {}
     for p, w in enumerate(patterns):
-        by = 32 * (p - size + 1)
+        by = width * (p - size + 1)
         masks[w] = masks.get(w, 0) | ((stair << by if by >= 0 else stair >> -by) & full)
-    pv, mv, n = full, 0, 4 * lanes
+    pv, mv, n = full, 0, width // 8 * lanes
     up, down = [], []
     for w in text:
         eq = masks.get(w, 0)
         xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        xh &= full
-        ph = mv | (full ^ ((xh | pv) & full))
+        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+        ph = mv | (full ^ (xh | pv))
         mh = pv & xh
         up.append((ph & top).to_bytes(n, "little"))
         down.append((mh & top).to_bytes(n, "little"))
         ph = (ph << 1) & full
-        mh = (mh << 1) & full
-        pv = mh | (full ^ ((xv | ph) & full))
+        pv = ((mh << 1) & full) | (full ^ (xv | ph))
         mv = ph & xv
-    shape = (len(text), lanes)
-    steps = (np.frombuffer(b"".join(up), np.uint32) != 0).astype(np.int16) - (np.frombuffer(b"".join(down), np.uint32) != 0)
-    return size + np.cumsum(steps.reshape(shape), axis=0)
+    steps = (np.frombuffer(b"".join(up), kind) != 0).astype(np.int16) - (np.frombuffer(b"".join(down), kind) != 0)
+    return size + np.cumsum(steps.reshape(len(text), lanes), axis=0)
+
+
+def _present(words: list[int], others: list[int]) -> np.ndarray:
+    """How many of the first k words stand among the others, for each k from 0."""
+    there = set(others)
+    return np.concatenate(([0], np.cumsum(np.fromiter((w in there for w in words), bool, len(words)))))
 
 
 def passage_ends(item: list[int], text: list[int]) -> np.ndarray | None:
@@ -140,15 +144,16 @@ def passage_ends(item: list[int], text: list[int]) -> np.ndarray | None:
     leaves out only the first that has a passage is looked at, where those have none.
     """
     n, m = len(text), len(item)
-    ends = {size: distances(item, size, text) <= size // RATE for size in SHORTEST if size <= m}
+    upto = _present(item, text)
+    # a run of which too few words stand in the text at all needs no distance
+    ends = {size: distances(item, size, text) <= size // RATE for size in SHORTEST if size <= m and (upto[size:] - upto[:-size] >= size - size // RATE).any()}
     if not any(e.any() for e in ends.values()):
         return None
-    there = set(text)
-    here = np.array([w in there for w in item])
+    here = np.diff(upto) > 0
     width = min(WINDOW, n)
     inside, found = np.zeros(n - width + 1, bool), False
     for size in (*SHORTEST, *(x for x in range(LEAST, LONGEST + 1) if x not in SHORTEST)):
-        if size > m or (found and size not in SHORTEST):
+        if size > m or size in SHORTEST and size not in ends or found and size not in SHORTEST:
             continue
         e = ends[size] if size in ends else distances(item, size, text) <= size // RATE
         for j in np.nonzero((e & here[: m - size + 1] & here[size - 1 :]).any(axis=1))[0].tolist():
@@ -194,8 +199,14 @@ def compare(item: list[int], text: list[int], spans: list[tuple[int, int, int, i
         here, part = text[x:y], item[a:b]
         inside = passage_ends(part, here)
         holds |= inside is not None
-        errors = distances(here, min(WINDOW, len(here)), part).min(axis=0)
+        width, upto = min(WINDOW, len(here)), _present(here, part)
+        plausible = np.nonzero(upto[width:] - upto[:-width] >= width - WINDOW_ERRORS)[0]
+        if not len(plausible):
+            continue
+        begin = int(plausible[0])
+        errors = distances(here[begin : int(plausible[-1]) + width], width, part).min(axis=0)
         for w in np.nonzero(errors <= WINDOW_ERRORS)[0].tolist():
-            e, i = like.get(x + w, (WINDOW, False))
-            like[x + w] = (min(e, int(errors[w])), i or (inside is not None and bool(inside[w])))
+            w, e = begin + w, int(errors[w])
+            known, i = like.get(x + w, (WINDOW, False))
+            like[x + w] = (min(e, known), i or (inside is not None and bool(inside[w])))
     return holds, [(w, e, i) for w, (e, i) in sorted(like.items())]

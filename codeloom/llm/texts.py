@@ -140,6 +140,11 @@ def _piece_map(pieces: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+#: SHARED pieces lie near enough for one passage, and as far apart in the item as in the text but for its errors.
+_CLUSTERED = f"""exists(hits, h -> size(array_distinct(transform(filter(hits, x -> x.at >= h.at AND x.at <= h.at + {leaks.REACH - leaks.PIECE}
+    AND abs((x.at - x.place) - (h.at - h.place)) <= {leaks.LONGEST // leaks.RATE}), x -> x.at))) >= {leaks.SHARED})"""
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     """doc_id, item_id: documents that hold a passage of an evaluation item.
 
@@ -184,6 +189,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, map_bits: int = MAP_BIT
     hits = stretches.select("stretch", F.posexplode("pieces").alias("at", "piece")).join(small(cut(pieces)), "piece")
     # of one stretch and one part, at most STRETCH ** 2 places
     pairs = hits.groupBy("stretch", "text", "part").agg(F.sort_array(F.collect_list(F.struct("at", "place"))).alias("hits")).filter(F.size("hits") >= leaks.SHARED)
+    pairs = pairs.filter(F.expr(_CLUSTERED))
     pairs = pairs.join(small(parts.select("text", "part", "words", F.size("pieces").alias("of"))), ["text", "part"]).join(stretches.select("stretch", "here"), "stretch")
 
     def decide(batches):
