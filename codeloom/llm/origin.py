@@ -37,6 +37,42 @@ NOTICES = {
     "this file is a lockfile": "generated",
     "changes to this file will be lost": "generated",
     "manual changes will be overwritten": "generated",
+    "generated code - do not": "generated",
+    "generated code -- do not": "generated",
+    "generated code. do not": "generated",
+    "generated file - do not": "generated",
+    "generated file. do not": "generated",
+    "generated file, do not": "generated",
+    "has been automatically generated": "generated",
+    "has been auto-generated": "generated",
+    "has been autogenerated": "generated",
+    "automatically generated, do not": "generated",
+    "automatically generated. do not": "generated",
+    "automatically generated; do not": "generated",
+    "automatically generated - do not": "generated",
+    "automatically-generated file": "generated",
+    "automatically generated file": "generated",
+    "automatically generated code": "generated",
+    "generated automatically by": "generated",
+    "autogenerated by": "generated",
+    "auto-generated by": "generated",
+    "auto generated by": "generated",
+    "auto-generated. do not": "generated",
+    "autogenerated. do not": "generated",
+    "auto-generated, do not": "generated",
+    "autogenerated, do not": "generated",
+    "code was generated by a tool": "generated",
+    "code is generated by": "generated",
+    "code was auto-generated": "generated",
+    "class was generated by": "generated",
+    "class is generated by": "generated",
+    "generated by cython": "generated",
+    "generated by swig": "generated",
+    "generated by antlr": "generated",
+    "generated by openapi generator": "generated",
+    "generated by the openapi generator": "generated",
+    "generated by swagger codegen": "generated",
+    "generated from a template+do not": "generated",
     "vendored from": "vendored",
     "see license in the upstream repository": "vendored",
     "| mit license |": "vendored",
@@ -46,15 +82,22 @@ NOTICES = {
     "spdx-license-identifier:+part of the +project, release": "vendored",
 }
 # Path rules.
-VENDOR_DIRS = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|third[_-]party|thirdparty|_vendor|site-packages|dist-packages|Pods|Carthage|extern)/|(?:^|/)vendor/(?:[\w-]+\.)+[a-z]+/|(?:^|/)[A-Za-z][\w-]*-\d+\.\d+\.\d+(?:/|(?:\.\w+)?$)")
+VENDOR_DIRS = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|third[_-]party|thirdparty|_vendor|site-packages|dist-packages|Pods|Carthage|extern|Godeps)/|(?:^|/)\.yarn/(?:releases|plugins|sdks|cache)/|(?:^|/)vendor/(?:[\w-]+\.)+[a-z]+/|(?:^|/)[A-Za-z][\w-]*-\d+\.\d+\.\d+(?:/|(?:\.\w+)?$)")
 LIBRARY_DIRS = re.compile(r"(?:^|/)(?:vendor|vendored|deps|external|externals|extern|third[_-]?party|_vendor|node_modules|libs|contrib)/(?:@[\w.-]+/)?([\w.-]+)/")
-LOCK_FILES = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|composer\.lock|poetry\.lock|pipfile\.lock|cargo\.lock|gemfile\.lock|go\.sum|packages\.lock\.json|mix\.lock|flake\.lock|[\w.-]+[.-]lock\.(?:json|ya?ml))$")
-GENERATED_NAMES = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|[._]pb\.(?:go|[cm]?[jt]sx?|h|cc|rs)|_pb\.[cm]?[jt]sx?|_pb\.d\.ts|_gen\.\w+|\.gen\.\w+|\.generated\.\w+|\.g\.(?:cs|[cm]?[jt]sx?|dart)|\.designer\.cs|\.tab\.(?:c|h|cc|cpp|hpp)|(?<=[a-z])Proto\.java|(?<=[a-z])Grpc\.java)$", re.I)
+# Libraries so common that a directory of their name under one for libraries holds them.
+LIBRARIES = frozenset(
+    "angular asio backbone boost bootstrap bzip2 catch2 chartjs codemirror curl d3 ember expat express fmt freetype glfw googletest gtest handlebars highlightjs jquery leaflet libcurl libevent libjpeg libpng libuv libxml2 lodash lz4 mathjax moment mustache nlohmann openssl popper protobuf rapidjson react requirejs snappy spdlog sqlite sqlite3 threejs tinymce tinyxml2 underscore vue xxhash yaml-cpp zlib zstd".split()
+)
+LOCK_FILES = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|composer\.lock|poetry\.lock|pipfile\.lock|cargo\.lock|gemfile\.lock|podfile\.lock|pubspec\.lock|pdm\.lock|uv\.lock|bun\.lockb?|deno\.lock|go\.sum|go\.work\.sum|packages\.lock\.json|gradle\.lockfile|package\.resolved|\.terraform\.lock\.hcl|mix\.lock|flake\.lock|[\w.-]+[.-]lock\.(?:json|ya?ml))$")
+GENERATED_NAMES = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|[._]pb\.(?:go|[cm]?[jt]sx?|h|cc|rs)|_pb\.[cm]?[jt]sx?|_pb\.d\.ts|_gen\.\w+|\.gen\.\w+|\.generated\.\w+|^zz_generated\.[\w.]+|\.g\.(?:cs|[cm]?[jt]sx?|dart)|\.designer\.cs|\.tab\.(?:c|h|cc|cpp|hpp)|(?<=[a-z])Proto\.java|(?<=[a-z])Grpc\.java)$", re.I)
 STRINGER_NAMES = re.compile(r"_string\.go$")
 MINIFIED_NAMES = re.compile(r"(?:[.-]min\.(?:[cm]?js|css)|\.bundle\.[cm]?js|\.chunk\.[cm]?js|-[0-9a-f]{8,20}\.(?:[cm]?js|css))$")
 
 _COMMENT = re.compile(r"^[ \t]*(?://|\#|--|/?\*|<!--|;|%|\"\"\"|''')[^\n]*", re.M)
 _HEAD = re.compile(r"\A(?:\s+|//[^\n]*|\#[^\n]*|--[^\n]*|/\*.*?\*/)+", re.S)
+#: What stands before the code: comments, a docstring, and the lines that a language wants first.
+_TOP = re.compile(r"\A(?:﻿|\s+|//[^\n]*|\#[^\n]*|--[^\n]*|/\*.*?\*/|<!--.*?-->|;[^\n]*|%[^\n]*|<\?[^\n]*|\"\"\".*?\"\"\"|'''.*?'''|package[ \t][^\n]*|[\"']use strict[\"'];?)+", re.S)
+_SPOKEN_OF = re.compile(r"\"[^\"\n]*\"|`[^`\n]*`|(?<!\w)'[^'\n]*'(?!\w)")
 _LIBRARY = re.compile(r"(?i)vendored from ([\w.-]+?)@|copyright the ([\w.-]+) authors|\(c\) the ([\w.-]+) authors|/\* ([\w.-]+) \d[\d.]* \| \w+ license|part of the ([\w.-]+) project, release")
 _WORD, _DIGITS, _LITERAL = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"0x[0-9a-fA-F]+|\d[\d.]*"), re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _DATA = re.compile(r"(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)(?:\s*,\s*(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)){7,}")
@@ -77,9 +120,21 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def header(text: str) -> str:
+    """The comments before and after the code: where a tool or a library says what the file is."""
+    text = text.replace("\r\n", "\n")
+    top = _TOP.match(text)
+    said = top[0] if top else ""
+    lines = text[len(said) :].rstrip().split("\n")
+    last = len(lines)
+    while last and _COMMENT.match(lines[last - 1]):
+        last -= 1
+    return "\n".join([said, *lines[last:]])
+
+
 def notice(text: str, parts: ahocorasick.Automaton) -> str | None:
-    """What the comments of `text` say of its origin. Literals and code do not speak for the file."""
-    said = "\n".join(_COMMENT.findall(text)).lower()
+    """What the header of `text` says of its origin. Literals, comments within the code and what is quoted do not speak for the file."""
+    said = _SPOKEN_OF.sub("", "\n".join(_COMMENT.findall(header(text)))).lower()
     found = {p for _, p in parts.iter(said)}
     for phrase, kind in NOTICES.items():
         if all(p in found for p in phrase.split("+")):
@@ -156,7 +211,7 @@ def judge(text: str | None, path: str | None, parts: ahocorasick.Automaton) -> t
         library = next(g for g in m.groups() if g)
     elif (m := re.search(r"(?:^|/)node_modules/((?:@[\w.-]+/)?[\w.-]+)/", path)) or (m := re.search(r"(?:^|/)([A-Za-z][\w-]*?)-\d+\.\d+\.\d+(?:/|(?:\.\w+)?$)", path)):
         library = m[1]
-    if VENDOR_DIRS.search(path):
+    if VENDOR_DIRS.search(path) or ((m := LIBRARY_DIRS.search(path)) and m[1].lower().removesuffix(".js") in LIBRARIES):
         return "vendored", library
     if LOCK_FILES.search(path):
         return "generated", library
