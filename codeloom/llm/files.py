@@ -7,6 +7,7 @@ allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,11 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import origin, secrets, syntax
+from codeloom.llm.bpe import load_ranks, tokenizer_path
 from codeloom.runtime import cut, small
 
-#: Most words the dictionary of the credential finder holds; those of the most declarations stay.
-DICTIONARY_WORDS = 50_000
-
 
 def _map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Rows out of Arrow batches: `make` is called once a task, its result for each row's values in turn."""
@@ -42,11 +41,13 @@ def _map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
 def file_origins(files: DataFrame) -> DataFrame:
     """file_id, kind of every file that nobody wrote by hand here: generated, minified, vendored or data.
 
-    Notices are matched in the files' comments by one automaton over all phrases;
-    path rules and the shape of the text add what says nothing of itself. A copy of
-    a library without notice is found by the digest of its body, which some marked
-    copy shares, or by a directory that bears the library's name. A null text is
-    judged by its path. Repeated rows give one row.
+    Notices are matched in the files' headers (the comments before and after the code)
+    by one automaton over all phrases; path rules and the shape of the text add what
+    says nothing of itself. A copy of a library without notice is found by the digest
+    of its body, which some marked copy shares, or by a directory of its repository
+    that bears the library's name. What a workspace excludes proves nothing, not even with
+    a licence in the file: own code bears one too. A null text is judged by its path.
+    Repeated rows give one row.
     """
 
     def make():
@@ -54,17 +55,18 @@ def file_origins(files: DataFrame) -> DataFrame:
 
         def one(file_id, path, text):
             kind, library = origin.judge(text, path, parts)
-            own = None if kind else origin.LIBRARY_DIRS.search((path or "").replace("\\", "/"))
-            return [(file_id, kind, library.lower().replace("_", "-") if library else None, origin.body_key(text) if text and kind in (None, "vendored") else None, own[1].lower().replace("_", "-") if own else None)]
+            path = (path or "").replace("\\", "/")
+            own = None if kind else origin.LIBRARY_DIRS.search(path)
+            return [(file_id, kind, library.lower().replace("_", "-") if library else None, origin.body_key(text) if text and kind in (None, "vendored") else None, own[1].lower().replace("_", "-") if own else None, path.split("/", 1)[0])]
 
         return one
 
-    judged = cut(_map(files.select("file_id", "file_path", "content"), make, "file_id long, kind string, library string, body binary, dir string").distinct())
+    judged = cut(_map(files.select("file_id", "file_path", "content"), make, "file_id long, kind string, library string, body binary, dir string, repo string").distinct())
     known = judged.filter("kind IS NOT NULL").select("file_id", "kind")
     rest = judged.filter("kind IS NULL")
     bodies = judged.filter("kind = 'vendored' AND body IS NOT NULL").select("body").distinct()
-    libraries = judged.filter("kind = 'vendored' AND library IS NOT NULL").select(F.col("library").alias("dir")).distinct()
-    copies = rest.join(small(cut(bodies)), "body", "left_semi").select("file_id").unionByName(rest.join(small(cut(libraries)), "dir", "left_semi").select("file_id"))
+    libraries = judged.filter("kind = 'vendored' AND library IS NOT NULL").select("repo", F.col("library").alias("dir")).distinct()
+    copies = rest.join(small(cut(bodies)), "body", "left_semi").select("file_id").unionByName(rest.join(small(cut(libraries)), ["repo", "dir"], "left_semi").select("file_id"))
     return known.unionByName(copies.distinct().withColumn("kind", F.lit("vendored"))).distinct()
 
 
@@ -93,11 +95,12 @@ def broken_rates(files: DataFrame) -> DataFrame:
     return marked.groupBy(F.col("f.repo").alias("repo"), F.col("f.language").alias("language")).agg(F.count("*").alias("n_files"), F.count("broken").alias("n_broken")).withColumn("rate", F.col("n_broken") / F.col("n_files"))
 
 
-def dictionary(files: DataFrame) -> frozenset[str]:
-    """Words of four letters and more in the names of at least five declarations, of all files: DICTIONARY_WORDS at most, the most frequent."""
-    names = files.select(F.explode("symbols").alias("s")).select(F.explode(F.split(F.regexp_replace("s.name", "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z]+")).alias("w"))
-    words = names.select(F.lower("w").alias("w")).filter(F.length("w") >= 4).groupBy("w").count().filter("count >= 5")
-    return frozenset(r.w for r in words.orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect())
+def dictionary(tokenizer: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> frozenset[str]:
+    """The words of four letters and more of a public vocabulary, a list of fixed size whatever the corpus; none if the file is not there."""
+    path = tokenizer_path(tokenizer, folder)
+    if not os.path.exists(path):
+        return frozenset()
+    return frozenset(b[1:].decode("ascii").lower() for b in load_ranks(path) if len(b) > 4 and b[:1] == b" " and b[1:].isalpha() and b.isascii())
 
 
 def file_secrets(files: DataFrame, words: frozenset[str]) -> DataFrame:
@@ -131,14 +134,14 @@ def service_secrets(services: DataFrame, words: frozenset[str]) -> DataFrame:
 
 
 def credentials(files: DataFrame, services: DataFrame) -> DataFrame:
-    """Credentials of files and services. Values are read by Viterbi over the words of the files' own declarations."""
-    words = dictionary(files)
+    """Credentials of files and services. Values are read by Viterbi over the words of a public vocabulary."""
+    words = dictionary()
     return file_secrets(files, words).unionByName(service_secrets(services, words))
 
 
 def redacted_files(files: DataFrame) -> DataFrame:
-    """file_id, content of the files that hold credentials, each replaced by [REDACTED] and all else unchanged."""
-    known = files.sparkSession.sparkContext.broadcast(dictionary(files))
+    """file_id, content of the files that hold credentials, each replaced by the word REDACTED and all else unchanged."""
+    known = files.sparkSession.sparkContext.broadcast(dictionary())
 
     def make():
         w, triggers = known.value, secrets.automaton()
@@ -152,9 +155,9 @@ def redacted_files(files: DataFrame) -> DataFrame:
     return _map(files.select("file_id", "file_path", "content"), make, "file_id long, content string").distinct()
 
 
-def redacted_services(services: DataFrame, files: DataFrame) -> DataFrame:
-    """service_id, environment of the services that hold credentials, each replaced by [REDACTED]."""
-    known = services.sparkSession.sparkContext.broadcast(dictionary(files))
+def redacted_services(services: DataFrame) -> DataFrame:
+    """service_id, environment of the services that hold credentials, each replaced by the word REDACTED."""
+    known = services.sparkSession.sparkContext.broadcast(dictionary())
 
     def make():
         w, triggers = known.value, secrets.automaton()

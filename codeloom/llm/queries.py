@@ -32,7 +32,7 @@ def p5_redacted_files(spark, d):
 
 
 def p5_redacted_services(spark, d):
-    return FI.redacted_services(load(spark, d, "docker_services"), load(spark, d, "parse_results"))
+    return FI.redacted_services(load(spark, d, "docker_services"))
 
 
 def p7_ids(spark, d):

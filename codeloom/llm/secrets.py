@@ -9,8 +9,8 @@ import string
 
 import ahocorasick
 
-#: What stands in a redacted copy instead of a secret.
-REDACTED = "[REDACTED]"
+#: What stands in a redacted copy instead of a secret: a plain word, so that YAML, TOML, JSON, URLs and code parse as before.
+REDACTED = "REDACTED"
 
 # Published formats of access tokens.
 TOKENS = re.compile(
@@ -21,7 +21,7 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>(?:\\[nr]|
 # What a line with a credential holds at least one of, in lower case.
 TRIGGERS = (
     "pass pwd secret token key cred psk auth bearer login signature sig= @ akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat sk_live sk_test rk_live rk_test xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- npm_ pypi- sg. hf_ dop_v1 ya29 eyj"
-).split() + ["basic", "identified", "-u ", "-u=", "--user", '="', "='", "=`", "=\n", "code="]
+).split() + ["connect", "logon", "log_on", "signin", "sign_in", "basic", "identified", "-u ", "-u=", "--user", '="', "='", "=`", "=\n", "code="]
 
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _PLACE = re.compile(
@@ -40,7 +40,7 @@ BEFORE = {"public", "verify", "next", "page", "csrf", "xsrf", "has", "is", "no",
 # What else stands in names written without separators, and in values that only speak of credentials.
 AFFIXES = {"key", "db", "smtp", "eu", "us", "main", "old", "new", "prod", "dev", "ro", "rw", "x"}
 SPOKEN = CREDENTIAL | KEYS | ABOUT | BEFORE | {"key", "keys", "bearer", "basic", "oauth", "enter", "code", "value", "data", "user", "username", "login", "store", "manager"}
-_GLUED = re.compile(r"password|passwd|passphrase|apikey|accesskey|signingkey|encryptionkey|privatekey|authtoken|privatetoken|accesstoken|clientsecret")
+_GLUED = re.compile(r"password|passwd|passphrase|apikey|accesskey|signingkey|encryptionkey|privatekey|authtoken|privatetoken|accesstoken|clientsecret|(?:db|smtp)pass")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -100,7 +100,12 @@ def _printable(b: str) -> str | None:
 
 
 def secret_value(v: str, words: frozenset[str], quoted: bool = True) -> bool:
-    """Whether the value of a name that holds credentials is a literal secret: not a placeholder, reference or setting, and not all words."""
+    """Whether the value of a name that holds credentials is a literal secret: not a placeholder, reference or setting, and not all words.
+
+    Salted hashes of passwords (bcrypt, crypt, argon2, pbkdf2, LDAP) and UUIDs are none.
+    Bare hex of a digest's length is one here, as the caller has a name that says so
+    (api keys are of that form); where only talk points at it, it is none.
+    """
     v = v.strip()
     if len(v) < 5 or _PLACE.match(v) or _UUID.match(v) or _HASHED.match(v) or any(c.isspace() for c in v):
         return False
@@ -113,7 +118,7 @@ def secret_value(v: str, words: frozenset[str], quoted: bool = True) -> bool:
 
 
 _Q = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
-ASSIGN = re.compile(rf"(?P<name>[A-Za-z_$][\w$.-]*)(?:\"|'|`)?\]?\??\s*(?:(?::\s*[^=\"'`\n,;(){{}}]{{0,40}})?[:+]?=>?|:)\s*(?:new \w+\(|String\(|@|\$|b|u|r|f)?{_Q}")
+ASSIGN = re.compile(rf"(?P<name>[A-Za-z_$][\w$.-]*)(?:\"|'|`)?\]?\??\s*(?:(?::\s*[^=\"'`\n,;(){{}}]{{0,40}})?[:+]?=>?|:)\s*(?:new \w+\(|String\(|concat!\(|\\\s*|@|\$|b|u|r|f)?\s*{_Q}")
 CALL = re.compile(rf"\b(?:set|with|add|use)[_A-Z](?P<name>\w*)\(\s*{_Q}")
 PAIR = re.compile(rf"\(\s*[\"'`](?P<name>[\w.-]+)[\"'`]\s*,\s*{_Q}")
 BARE = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)[\"'`]?[ \t]*(?:=|:(?=\s)|:(?=[^\s/:=]{6,}\s*$))[ \t]*(?=(?P<v>[^\s\"'`;|&]+))")
@@ -126,9 +131,18 @@ SQL = re.compile(r"(?i)\b(?:password|identified\s+by|secret)\s+(?:=\s*)?'(?P<v>[
 OPTION = re.compile(r"(?i)(?<![\w-])(?:--?(?:[\w-]*?(?:password|passwd|token|secret|api-?key|access-?key|passphrase|pwd)|pass)(?:=|\s+)|-D[\w.]*?\.?(?:password|passwd|pass|secret|key|token|pwd)=|(?:-u|--user)[= ]\s*[\w.@-]+:|sshpass\s+-p\s*)[\"']?(?P<v>[^\s\"']+)")
 SAID = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)|pass(?=\s*[:=])|pwd|login|credentials?|creds|secret|token|api[- ]?key|access[- ]?key|key)\b(?:[^\n\"'`=:/]{0,40}?)(?:\s*[:=/]\s*|\s+(?:is|was)\s+)(?:[\w.@-]+\s*[/:]\s*)?[\"'`]?(?P<v>[^\s\"'`,;]{6,})[\"'`.,;)]?")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
+#: A call that signs in: its last literal may be the password of the one before.
+SIGN_IN = re.compile(r"(?i)\b\w*(?:connect|login|log_?on|sign_?in|authenticate|credentials)\w*\((?P<args>[^()\n]*)\)")
+_ARGUMENTS = re.compile(r"\A(?:[^\"'`]*(?P<q>[\"'`])(?:(?!(?P=q))[^\\\n]|\\.)*(?P=q)\s*,)+\s*" + _Q.replace("q>", "e>").replace("=q", "=e") + r"\s*\Z")
 _LAST = re.compile(r"(?i)(?:password|passwd|pwd|pass|secret|token|key|credentials?|passphrase)(?:[._-]?(?:eu|us|main|old|new|prod|dev|ro|rw|\d+))?$")
-_JOINT = re.compile(r"(?P<q>[\"'`])\s*(?:\+|\.{1,2}|&|\|\||\\)?\s*(?P=q)")
+_JOINT = re.compile(r"(?P<q>[\"'`])\s*(?:\+|\.{1,2}|&|\|\||\\|\.concat\(|(?P<c>,))?\s*(?P=q)")
+#: Calls whose arguments are one literal.
+_CONCAT = re.compile(r"\bconcat!\([^()]*\Z|\b(?:concat|CONCAT|Concat)\([^()]*\Z")
+#: A line whose literal stands on the next one, and how that begins.
+_CONTINUED, _CONTINUES = re.compile(r"(?:[=:(+,]|\.\.?|&|\|\|)[ \t]*\\?\r?\Z|\\\r?\Z"), re.compile(r"\n[ \t]*[bruf@$]?[\"'`]")
 _COMMENTED = re.compile(r"^\s*(?://|#|--|\*|/\*|<!--|;|>|rem\b|%|\"\"\"|''')|\s(?://|#|--)\s", re.I)
+#: A pass phrase: words of the dictionary and a number.
+_PHRASE = re.compile(r"[A-Za-z]{3,}(?:[-_.][A-Za-z]{3,}){2,}[-_.]?\d{2,4}\Z")
 #: Extensions in which a value needs no quotes.
 PLAIN = {"yml", "yaml", "env", "md", "dockerfile", "properties", "ini", "cfg", "conf", "toml", "sh", "txt", "rst"}
 
@@ -142,6 +156,8 @@ def _joined(line: str) -> tuple[str, list[int] | None]:
         before = line[: m.start()]
         if (before.count(m["q"]) - before.count("\\" + m["q"])) % 2 == 0:
             continue  # an empty literal, not the end of one and the begin of the next
+        if m["c"] and not _CONCAT.search(before):
+            continue
         out.append(line[last : m.start()])
         at += range(last, m.start())
         last = m.end()
@@ -150,8 +166,8 @@ def _joined(line: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[int, int]]:
-    """Spans of the secrets in one line. plain: values may stand without quotes."""
+def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[int, int, int]]:
+    """Spans of the secrets in one line, each with the begin of its credential. plain: values may stand without quotes."""
     joined, at = _joined(line)
     spans: list[tuple[int, int]] = []
     take = lambda m, g="v": spans.append(m.span(g))
@@ -178,6 +194,11 @@ def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[in
                 continue
             if credential_name(m["name"], words) and secret_value(m["v"], words) and not HEADER.match(m["v"]) and "-----BEGIN" not in m["v"] and "://" not in m["v"]:
                 take(m)
+    for m in SIGN_IN.finditer(joined):
+        if a := _ARGUMENTS.match(m["args"]):
+            kinds = sum(bool(re.search(k, a["v"])) for k in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
+            if kinds >= 3 and residual(a["v"], words) >= 4 and secret_value(a["v"], words) and "://" not in a["v"]:
+                spans.append((m.start("args") + a.start("v"), m.start("args") + a.end("v")))
     if (plain or commented) and "-----BEGIN" not in joined:
         for pattern in (BARE, ENV):
             for m in pattern.finditer(joined):
@@ -186,19 +207,19 @@ def line_secrets(line: str, words: frozenset[str], plain: bool) -> list[tuple[in
         for m in SAID.finditer(joined):
             v = m["v"].rstrip(".,;)")
             kinds = sum(bool(re.search(k, v)) for k in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
-            if kinds >= 2 and residual(v, words) >= (4 if re.search(r"\d", v) else 8) and (re.search(r"\d", v) or re.search(r"[a-z][A-Z]", v)) and secret_value(v, words, quoted=False) and "://" not in v and not _HASH.match(v):
+            if kinds >= 2 and (residual(v, words) >= (4 if re.search(r"\d", v) else 8) or _PHRASE.match(v)) and (re.search(r"\d", v) or re.search(r"[a-z][A-Z]", v)) and secret_value(v, words, quoted=False) and "://" not in v and not _HASH.match(v):
                 spans.append((m.start("v"), m.start("v") + len(v)))
     for m in ENCODED.finditer(joined):
         if (text := _printable(m[0])) and (TOKENS.search(text) or any(not _PLACE.match(u["v"]) for u in URL.finditer(text)) or any(secret_value(c["v"], words) for c in CONNECTION.finditer(text))):
             spans.append(m.span())
     if at is None or not spans:
-        return spans
+        return [(a, b, a) for a, b in spans]
     out = []
     for a, b in spans:  # back to the line: one span for each part of a split literal
         start = a
         for i in range(a + 1, b + 1):
             if i == b or at[i] != at[i - 1] + 1:
-                out.append((at[start], at[i - 1] + 1))
+                out.append((at[start], at[i - 1] + 1, at[a]))
                 start = i
     return out
 
@@ -241,12 +262,19 @@ def find_secrets(text: str | None, plain: bool, words: frozenset[str], triggers:
         begin = text.rfind("\n", 0, at) + 1
         done = text.find("\n", at)
         done = len(text) if done < 0 else done
+        # literals that a line leaves to the next are read with it
+        while done < len(text) and _CONTINUED.search(text, max(begin, done - 40), done) and _CONTINUES.match(text, done):
+            done = text.find("\n", done + 1)
+            done = len(text) if done < 0 else done
         line += text.count("\n", counted, begin)
         counted = begin
-        for a, b in line_secrets(text[begin:done].rstrip("\r"), words, plain):
-            a, b = a + begin, b + begin
+        whole = text[begin:done].rstrip("\r")
+        if "\n" in whole:
+            whole = re.sub(r"\\?\r?\n", lambda m: " " * len(m[0]), whole)
+        for a, b, first in line_secrets(whole, words, plain):
+            a, b, first = a + begin, b + begin, first + begin
             if not any(x < b and a < y for x, y in keys):
-                found.append((line, a, b))
+                found.append((line + text.count("\n", begin, first), a, b))
     return found
 
 

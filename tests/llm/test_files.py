@@ -165,7 +165,7 @@ def test_credentials_are_placed_and_redacted():
     found = secrets.find_secrets(text, False, WORDS, TRIGGERS)
     assert sorted({x[0] for x in found}) == [2, 3]
     out = secrets.redact(text, found)
-    assert "abc123" not in out and "def456" not in out and "uUEO" not in out and out.startswith('a = 1\r\nconst token = "[REDACTED]" + "[REDACTED]";\r\n') and out.endswith('-----END PRIVATE KEY-----"""\nend')
+    assert "abc123" not in out and "def456" not in out and "uUEO" not in out and out.startswith('a = 1\r\nconst token = "REDACTED" + "REDACTED";\r\n') and out.endswith('-----END PRIVATE KEY-----"""\nend')
     assert secrets.redact("x", []) == "x" and secrets.redact(None, []) is None and secrets.find_secrets("", True, WORDS, TRIGGERS) == []
 
 
@@ -189,7 +189,80 @@ def test_operators_on_dirty_rows(spark):
     assert rates[("r", "python")] == (1, 1) and rates[(None, "")] == (1, 0)
     s = spark.createDataFrame([(7, ["A=1", None, "DB_PASS=Zr7Lw2Xv91q"]), (8, None), (9, [])], "service_id long, environment array<string>")
     assert {tuple(r) for r in FI.credentials(f, s).collect()} == {("file", 6, 1), ("docker", 7, 3)}
-    assert [r.content for r in FI.redacted_files(f).collect()] == ['const apiKey = "[REDACTED]";\n']
-    assert [r.environment for r in FI.redacted_services(s, f).collect()] == [["A=1", None, "DB_PASS=[REDACTED]"]]
+    assert [r.content for r in FI.redacted_files(f).collect()] == ['const apiKey = "REDACTED";\n']
+    assert [r.environment for r in FI.redacted_services(s).collect()] == [["A=1", None, "DB_PASS=REDACTED"]]
     empty = f.limit(0)
     assert not FI.file_origins(empty).count() and not FI.broken_files(empty).count() and not FI.broken_rates(empty).count() and not FI.credentials(empty, s.limit(0)).count()
+
+
+@pytest.mark.parametrize(
+    "said",
+    ["GENERATED CODE - DO NOT MODIFY BY HAND", "This file has been automatically generated", "Autogenerated by Thrift Compiler (0.19.0)", "AUTOMATICALLY GENERATED, DO NOT EDIT", "This code was generated by a tool.", "Generated by Cython 3.0", "This is an automatically generated file", "This class was generated by the JAX-WS RI.", "auto-generated. Do not modify"],
+)
+def test_usual_notices(said):
+    assert kind(f"// {said}\n" + BODY, "r/a.ts") == "generated"
+    assert kind(f"package a\n/*\n * {said}\n */\n" + BODY, "r/a.go") == "generated"
+    assert kind(BODY + f"\n// {said}\n", "r/a.ts") == "generated"
+    # what stands within the code, is quoted or is a literal does not speak for the file
+    assert kind(BODY + f"\n// {said}\n" + BODY, "r/a.ts") is None
+    assert kind(f'// our tool writes the header "{said}" into what it makes\n' + BODY, "r/a.ts") is None
+    assert kind(f'const banner = "{said}";\n' + BODY, "r/a.ts") is None
+
+
+@pytest.mark.parametrize(
+    "path, want",
+    [
+        ("r/vendor/lodash/index.js", "vendored"), ("r/src/vendor/jquery.js/core.js", "vendored"), ("r/Godeps/x/a.go", "vendored"), ("r/.yarn/releases/yarn.cjs", "vendored"), ("r/src/vendor/invoice/a.js", None),
+        ("r/uv.lock", "generated"), ("r/bun.lock", "generated"), ("r/api/zz_generated.deepcopy.go", "generated"), ("r/lockers.ts", None), ("r/generated_by_hand.ts", None),
+    ],
+)
+def test_paths(path, want):
+    assert kind(BODY, path) == want
+
+
+def test_libraries_stay_in_their_repository(spark):
+    other, third = BODY.replace("load", "fetch"), BODY.replace("join", "merge")
+    rows = [(1, "web/node_modules/logger/index.js", BODY), (2, "apps/libs/logger/mine.ts", other), (3, "web/libs/logger/theirs.ts", third), (4, "apps/copy/x.js", BODY), (5, "apps/deps/q/x.js", "// Copyright (c) 2011 us\n" + other), (7, None, None)]
+    files = spark.createDataFrame(rows, "file_id long, file_path string, content string").withColumn("kind", F.lit(1))
+    assert {tuple(r) for r in FI.file_origins(files).collect()} == {(1, "vendored"), (3, "vendored"), (4, "vendored")}
+    assert FI.file_origins(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('API_KEY = \\\n    "c9XqT71bLw02"\n', [2]),
+        ('headers = {\n  "X-Api-Key":\n    "c9XqT71bLw02",\n}\n', [3]),
+        ('const token = "glpat-xFKaX6g" +\n  "N4fga5_00ryOL";\n', [1]),
+        ('const K: &str = concat!("AIzazcPBxvPj_kXtfqx", "MShWm4RXwcpsbwD6HxAQ");\n', [1]),
+        ('db = connect("h", "root", "Tr0ub4dor&3")\n', [1]),
+        ('db = connect("h", "root", "main")\n', []),
+        ('f("AIzazcPBxvPj_kXtfqx", "MShWm4RXwcpsbwD6HxAQ")\n', []),
+        ('passwords = [\n  "a",\n]\n', []),
+    ],
+)
+def test_credentials_over_literals_and_lines(text, want):
+    assert lines(text) == want
+
+
+def test_redacted_texts_parse_as_before():
+    import json
+    import tomllib
+    from urllib.parse import urlsplit
+
+    def redacted(text, plain=True):
+        found = secrets.find_secrets(text, plain, WORDS, TRIGGERS)
+        assert found
+        return secrets.redact(text, found)
+
+    assert json.loads(redacted('{"password": "Harbor!7731x", "n": 1}')) == {"password": "REDACTED", "n": 1}
+    assert tomllib.loads(redacted('api_key = "c9XqT71bLw02"\nn = 1\n')) == {"api_key": "REDACTED", "n": 1}
+    assert redacted("password: Harbor!7731x\nn: 1\n") == "password: REDACTED\nn: 1\n" and syntax.diagnose("password: REDACTED\nn: 1\n", "a.yml") is None
+    url = redacted("DB=postgres://app:s3cr3tpw@db.example:5432/x").split("=", 1)[1]
+    assert (urlsplit(url).hostname, urlsplit(url).port, urlsplit(url).password) == ("db.example", 5432, "REDACTED")
+
+
+def test_the_dictionary_is_of_fixed_size():
+    words = FI.dictionary()
+    assert len(words) < 50_000 and (not words or {"password", "garden", "between"} <= words)
+    assert FI.dictionary(folder="/nowhere") == frozenset()
