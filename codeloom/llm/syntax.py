@@ -1,4 +1,4 @@
-"""Source files that do not parse: lexers with a pushdown stack for each language."""
+"""Source files that do not parse: lexers with a pushdown stack for each language, then what no sentence holds."""
 
 from __future__ import annotations
 
@@ -54,7 +54,6 @@ _ODD = {
 }
 _ODD["ts"] = _ODD["js"]
 _ODD = {k: re.compile(v) for k, v in _ODD.items()}
-_NOT_BRACKET = re.compile(r"[^()\[\]{}]+")
 _WORD = re.compile(r"\d[\w.]*|[^\W\d][\w$]*|\$[\w$]*")
 _SPACE, _LINES = re.compile(r"[ \t\f\v\xa0]+"), re.compile(r"[ \t]*(?:\r?\n[ \t]*)+")
 _HEADER, _PARENS = re.compile(r"c ?(?:k )?\([^()]*\)"), re.compile(r"\([^()]*\)")
@@ -66,7 +65,7 @@ _ALL = r"i i i i|(?<!\[)= ?[;)\]}]|(?<![+/])[+/%|^] ?[;)\]]|(?<!\.)\. ?[;)\]}]|,
 _BAD = {
     # type annotations are no JavaScript: in parameters, after them, of results
     "js": _ALL + r"|i [i0s]|p [i0s]|\( ?(?:[^(){}\[\]?]*, ?)?i ?\?? ?: ?[iks]|p ?: ?[ik](?: ?\[ ?\])* ?\{",
-    "ts": _ALL + r"|i [i0s]|(?<!@i)(?<!@i )p [i0s]",
+    "ts": _ALL.replace("<>&|]", "<&|]") + r"|i [i0s]|(?<!@i)(?<!@i )p [i0s]",
     "java": _ALL + r"|i [0s]|i i i|[0s]\n[ik]|(?<!@i)(?<!@i )(?<=i)p\n[ir]|i ?:= ?",
     "cs": _ALL + r"|i [0s]|[0s]\n[ir]|(?<=i)p\n[ir]|i ?:= ?",
     "cpp": _ALL.replace("[s0] [i0s]", "0 [i0s]") + r"|\.ip\n[ikrc]|= ?[^;{}\n,()]*[i0s]\n[irc]|i ?:= ?",
@@ -76,14 +75,260 @@ _BAD = {
 _BAD = {k: re.compile(v) for k, v in _BAD.items()}
 
 
+class _Broken(Exception):
+    """What the lexer cannot go on from; its text is the reason."""
+
+
+_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_CHUNK = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+_MARK = re.compile(r"[\"'`/<()\[\]{}]")
+_TAG = re.compile(r"<(?:[A-Za-z_$][\w$.:-]*(?=[\s/>{]|\Z)|(?=\s*>))")
+_TAG_TOKEN = re.compile(r"\s+|/\*.*?\*/|//[^\n]*|[\w$.:@-]+|=|\"[^\"]*\"|'[^']*'|/\s*>|[>{]", re.S)
+_TAG_END = re.compile(r"</\s*[\w$.:-]*\s*>")
+_TEXT = re.compile(r"[^<{]*")
+_LAST_WORD = re.compile(r"(?<![\w$.])[a-z]+\Z")
+# Words after which an operand begins, and words whose parentheses are a header.
+_BEFORE_OPERAND = frozenset("return typeof case in of delete void instanceof new throw do else yield await default extends".split())
+_HEADS = frozenset("if while for with await".split())
+_CLOSES = {"(": ")", "[": "]", "{": "}"}
+
+
+def lex_js(text: str, jsx: bool) -> str:
+    """Code of JavaScript or TypeScript without comments, each literal one mark; raises _Broken.
+
+    One pass with a pushdown stack, whose top says how to read on: brackets, the
+    expressions within templates (`), tags (T), the text between tags (C), and the
+    expressions within both (E). What stands within ${} and within braces of tags comes
+    out in parentheses behind the literal that it is part of.
+    """
+    out: list[str] = []
+    stack: list[tuple[str, bool]] = []  # and whether a ( is a header's, a { a block's
+    pos, n = (text.index("\n") if text.startswith("#!") and "\n" in text else 0), len(text)
+    tail, head, block = "", False, True  # last code, and whether what closed last was a header, a block
+
+    def operand_next() -> bool:
+        """Whether an operand may stand here: then / begins a regular expression and < an element."""
+        if not tail:
+            return True
+        c = tail[-1]
+        if c == ")":
+            return head
+        if c == "}":
+            return block
+        if c in "+-":
+            return tail[-2:] not in ("++", "--")
+        if c in "=(,:;!&|?{[*%<>~^":
+            return True
+        w = _LAST_WORD.search(tail)
+        return bool(w) and w[0] in _BEFORE_OPERAND
+
+    def template(at: int) -> int:
+        m = _CHUNK.match(text, at)
+        if not m:
+            raise _Broken("literal template")
+        if m[1] != "`":
+            stack.append(("`", False))
+            out.append("(")
+        return m.end()
+
+    while True:
+        top = stack[-1][0] if stack else ""
+        if top == "T":
+            m = _TAG_TOKEN.match(text, pos)
+            if not m:
+                raise _Broken("tag")
+            pos = m.end()
+            if m[0] == "{":
+                stack.append(("E", False))
+                out.append("(")
+                tail = "("
+            elif m[0] == ">":
+                stack[-1] = ("C", False)
+            elif m[0][0] == "/" and m[0][-1] == ">":
+                stack.pop()
+                tail = LITERAL
+            continue
+        if top == "C":
+            pos = _TEXT.match(text, pos).end()
+            if pos >= n:
+                raise _Broken("tag not closed")
+            if text[pos] == "{":
+                stack.append(("E", False))
+                out.append("(")
+                tail, pos = "(", pos + 1
+            elif m := _TAG_END.match(text, pos):
+                stack.pop()
+                tail, pos = LITERAL, m.end()
+            elif m := _TAG.match(text, pos):
+                stack.append(("T", False))
+                pos = m.end()
+            else:
+                raise _Broken("tag")
+            continue
+        m = _MARK.search(text, pos)
+        if not m:
+            out.append(text[pos:])
+            break
+        i, c = m.start(), m[0]
+        if i > pos:
+            part = text[pos:i]
+            out.append(part)
+            if part := part.rstrip():
+                tail = part[-16:]
+        pos = i + 1
+        if c in "([{":
+            word = _LAST_WORD.search(tail) if c != "[" else None
+            if c == "(":
+                stack.append((c, bool(word) and word[0] in _HEADS))
+            else:
+                stack.append((c, c == "{" and (not tail or tail[-1] in ");{}>" or tail[-1].isalnum() and not (word and word[0] in _BEFORE_OPERAND - {"do", "else"}))))
+            out.append(c)
+            tail = c
+        elif c in ")]}":
+            if not stack:
+                raise _Broken("bracket")
+            opened, kind = stack.pop()
+            if opened == "`" and c == "}":
+                out.append(")")
+                tail = LITERAL
+                pos = template(pos)
+            elif opened == "E" and c == "}":
+                out.append(")")
+            elif _CLOSES.get(opened) == c:
+                out.append(c)
+                tail = c
+                head, block = (kind, block) if c == ")" else (head, kind)
+            else:
+                raise _Broken("bracket")
+        elif c == "/":
+            if text.startswith("//", i):
+                pos = text.find("\n", i)
+                pos = n if pos < 0 else pos
+            elif text.startswith("/*", i):
+                pos = text.find("*/", i + 2) + 2
+                if pos < 2:
+                    raise _Broken("comment")
+                out.append("\n" if "\n" in text[i:pos] else " ")
+            elif operand_next() and (m := _REGEX.match(text, i)):
+                out.append(LITERAL)
+                tail, pos = LITERAL, m.end()
+            else:
+                out.append(c)
+                tail = c
+        elif c == "<":
+            if jsx and tail[-1:] != "<" and operand_next() and (m := _TAG.match(text, i)) and not _TYPE_PARAMETERS.match(text, i):
+                out.append(LITERAL)
+                stack.append(("T", False))
+                pos = m.end()
+            else:
+                out.append(c)
+                tail = c
+        elif c == "`":
+            out.append(LITERAL)
+            tail = LITERAL
+            pos = template(pos)
+        else:
+            if not (m := _STRING.match(text, i)):
+                raise _Broken("literal")
+            out.append(LITERAL)
+            tail, pos = LITERAL, m.end()
+    if stack:
+        raise _Broken("bracket not closed" if stack[-1][0] in _CLOSES else "literal not closed")
+    return "".join(out)
+
+
+_TYPE_PARAMETERS = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|\bextends\b|=(?!\s*[\"'{]))")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
 def _balanced(code: str) -> bool:
-    """The stack: pairs that close are taken off until nothing changes."""
-    b = _NOT_BRACKET.sub("", code)
-    n = -1
-    while n != len(b):
-        n = len(b)
-        b = b.replace("()", "").replace("[]", "").replace("{}", "")
-    return not b
+    """Whether brackets close in the order of a stack."""
+    stack: list[str] = []
+    for c in _BRACKET.findall(code):
+        if c in _CLOSES:
+            stack.append(_CLOSES[c])
+        elif not stack or stack.pop() != c:
+            return False
+    return not stack
+
+
+_IFS = re.compile(r"(?<![\w$.#@])(?:if|else|let)\b(?!\s*:)|[{}]")
+
+
+def _lone_else(code: str, language: str) -> bool:
+    """Whether a block has an else for which no if is left in it. In Rust a let may have one too."""
+    stack = [0]
+    for c in _IFS.findall(code):
+        if c == "{":
+            stack.append(0)
+        elif c == "}":
+            if len(stack) > 1:
+                stack.pop()
+        elif c == "if" or (c == "let" and language == "rust"):
+            stack[-1] += 1
+        elif c == "else":
+            stack[-1] -= 1
+            if stack[-1] < 0:
+                return True
+    return False
+
+
+def _outermost(code: str) -> str:
+    """`code` without what stands in braces."""
+    out, depth, last = [], 0, 0
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            if not depth:
+                out.append(code[last : m.start()])
+            depth += 1
+        else:
+            depth -= 1
+            if not depth:
+                last = m.end()
+    out.append(code[last:])
+    return "{}".join(out)
+
+
+# Macros whose arguments are expressions.
+_PLAIN_MACROS = "println print eprintln eprint format vec write writeln assert assert_eq assert_ne debug_assert panic matches todo unimplemented unreachable".split()
+_MACRO = re.compile(rf"\b(?!(?:{'|'.join(_PLAIN_MACROS)})\b)\w+!\s*\w*\s*([(\[{{])")
+
+
+def _without_macros(code: str) -> str:
+    """`code` of Rust without the arguments of macros, which may be any tokens."""
+    out, last = [], 0
+    for m in _MACRO.finditer(code):
+        if m.start() < last:
+            continue
+        depth = 0
+        for b in _BRACKET.finditer(code, m.start(1)):
+            depth += 1 if b[0] in _CLOSES else -1
+            if not depth:
+                break
+        out.append(code[last : m.start()] + "x" + m[1] + _CLOSES[m[1]])
+        last = b.end()
+    return "".join([*out, code[last:]])
+
+
+# What no sentence of the language holds, over code whose literals are marks.
+_TWICE = r"\breturn[ \t]+return\b"
+_STAR = rf"(?<![*+\-/%&|^])[+\-%&|^/][ \t]*\*(?![*=/])[ \t]*[\w({LITERAL}]"
+_WRONG = {
+    "js": rf"{_TWICE}|{_STAR}",
+    "ts": rf"{_TWICE}|{_STAR}",
+    "java": rf"{_TWICE}|{_STAR}|(?:(?<![\w.$])\d[\w.]*|{LITERAL})[ \t]+(?!instanceof\b)[A-Za-z_$]|(?<![\w$@.])(?!(?:if|while|for|switch|catch|synchronized|try|super|this)\b)\w+\(\)[ \t]+(?!(?:throws|default|instanceof|implements|extends|permits|when)\b)[A-Za-z_$]",
+    "cs": _TWICE,
+    "cpp": _TWICE,
+    "go": _TWICE,
+    "rust": rf"{_TWICE}|^[ \t]*let\b[^;{{}}\n]*=[^;{{}}\n]*[\w)\]{LITERAL}][ \t]*\n\s*(?:(?:let|return|for|while|fn|use|pub|struct|impl)\b|\}})",
+}
+_WRONG = {k: re.compile(v, re.M) for k, v in _WRONG.items()}
+# Words with which a line outside all braces begins, where it is not indented.
+_OUTER = {
+    "go": re.compile(r"^(?!(?:package|import|const|var|type|func)\b)[A-Za-z_]\w*", re.M),
+    "rust": re.compile(r"^(?!(?:use|mod|pub|fn|struct|enum|impl|trait|type|const|static|extern|unsafe|async|macro_rules|union|default|auto|crate|where|macro|safe|let)\b|r\#|[\w:]+!)[A-Za-z_]\w*(?!\s*(?:!|::|=>|->))\b(?=[ \t]+\w+[ \t]*[(<{])", re.M),
+}
 
 
 def classes(code: str, language: str) -> str:
@@ -109,17 +354,23 @@ def _first_branches(text: str) -> str:
     return "\n".join(out)
 
 
-def _parse_c(text: str, language: str) -> str | None:
+def _parse_c(text: str, language: str, jsx: bool = False) -> str | None:
     def literal(m):
         if m["c"] is not None:
             return "\n" if "\n" in m["c"] else " "
         if m[0][0] == "'" and m[0][-1] != "'":  # a lifetime
-            return " "
+            return "T" if text[m.start() - 2 : m.start()] == "+ " else " "
         return LITERAL
 
-    code = LEXERS[language].sub(literal, text)
-    if _CONFLICT.search(code):
+    if _CONFLICT.search(text) and _CONFLICT.search(LEXERS[language].sub(literal, text)):
         return "conflict"
+    if language in ("js", "ts"):
+        try:
+            code = lex_js(text, jsx)
+        except _Broken as e:
+            return "binary" if _CONTROL_CHARS.search(text) else str(e)
+    else:
+        code = LEXERS[language].sub(literal, text)
     if _CONTROL_CHARS.search(code):
         return "binary"
     if '"' in code or "'" in code or "`" in code:
@@ -132,6 +383,17 @@ def _parse_c(text: str, language: str) -> str | None:
         # branches of the preprocessor may open what only one of them needs
         if language not in ("cpp", "cs") or not _balanced(code := LEXERS[language].sub(literal, _first_branches(text))):
             return "bracket"
+    if bad := _WRONG[language].search(code):
+        return f"statement {bad[0]!r}"
+    # branches of the preprocessor and macros may hold an else without its if
+    if not (language in ("cpp", "cs") and re.search(r"#\s*el", text) or language == "rust" and "!" in code) and _lone_else(code, language):
+        return "statement else"
+    if language in _OUTER and (bad := _OUTER[language].search(_outermost(code))):
+        return f"statement {bad[0]!r}"
+    if language == "rust":
+        code = _without_macros(code)
+    elif language in ("js", "ts"):
+        code = re.sub(r"\bas\s+(?:catch|if|while|for|switch|with)\b", "as x", code)
     t = classes(code, language)
     t = re.sub(r"i(?: ?\?{0,1}\.\n?i)+", "i", t)
     n = -1
@@ -419,6 +681,9 @@ def _parse_yaml(text: str) -> str | None:
 PARSERS = {"python": _parse_python, "json": _parse_json, "sql": _parse_sql, "yaml": _parse_yaml}
 
 
+_JSX = re.compile(r"(?i)\.(?:[cm]?jsx?|tsx)\Z")
+
+
 def language_of(path: str | None) -> str | None:
     """The grammar that the file name's extension promises; None where there is none to break."""
     name = (path or "").replace("\\", "/").rsplit("/", 1)[-1]
@@ -433,4 +698,4 @@ def diagnose(text: str | None, path: str | None) -> str | None:
     text = text.replace("\r\n", "\n")
     if language in PARSERS:
         return PARSERS[language](text)
-    return _parse_c(text, language)
+    return _parse_c(text, language, _JSX.search(path) is not None)

@@ -266,3 +266,44 @@ def test_the_dictionary_is_of_fixed_size():
     words = FI.dictionary()
     assert len(words) < 50_000 and (not words or {"password", "garden", "between"} <= words)
     assert FI.dictionary(folder="/nowhere") == frozenset()
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ('a.tsx', "const a = <p>Don't do it</p>;\n"),
+        ('a.jsx', 'const b = <div>one two three four {x ? <b/> : `a${c}`} <>y</></div>;\n'),
+        ('a.ts', 'const s = `${f({ a: { b: 1 } })}`;\n'),
+        ('a.js', 'if (ok) /[\'"]/.test(s);\nconst g = s => /[\'"]/.test(s);\nconst h = a / b / c;\nx = (a) / 2;\n'),
+        ('a.tsx', 'const f = <T,>(x: T) => x;\nconst g = <T extends B>(x: T): T => { return x; };\nif (a < b && c > d) { e = a << 2; }\n'),
+        ('a.js', "const o = { a: 1 } / 2;\nfunction f() {}\n/re'/.test(x);\n"),
+        ('a.ts', 'const t = `a${`b${c}`}d` + tag`x`;\n'),
+        ('a.d.ts', 'declare function f(a: string): Promise<void>\n'),
+        ('a.rs', "macro_rules! m { ($($x:ident),* $(,)?) => { $(impl $x {})* }; }\nimpl E { fn s(&self) -> Option<&(dyn Error + 'static)> { None } }\n"),
+        ('a.ts', 'export { f as catch };\nlet x = c ? /[`]/ : 1;\n'),
+        ('a.go', 'package a\n\nvar x = 1 +\n\t2\n\nfunc f() {\n\tif a {\n\t} else if b {\n\t} else {\n\t}\n}\n'),
+    ],
+)
+def test_sound_texts_that_look_odd(path, text):
+    assert syntax.diagnose(text, path) is None
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ('a.ts', 'function f() { return return 1; }\n'),
+        ('A.java', 'class A { int f() { return 1 + * 2; } }\n'),
+        ('A.java', 'class A { void f() { int a = 1 int b = 2; } }\n'),
+        ('A.java', 'class A { void f() { foo() bar(); } }\n'),
+        ('a.rs', 'fn main() {\n    let a = f()\n    let b = 2;\n}\n'),
+        ('a.go', 'package a\n\nfnc f() {\n}\n'),
+        ('a.ts', 'function f() { else { g(); } }\n'),
+        ('a.ts', 'function f() { const a = 1;\n else { g(); } }\n'),
+        ('a.tsx', 'const a = <p>x;\n'),
+        ('a.ts', 'const s = `${f({ a: 1 )}`;\n'),
+        ('a.js', 'const s = `abc;\n'),
+        ('a.ts', 'f(a]\n'),
+    ],
+)
+def test_broken_texts_whose_brackets_close(path, text):
+    assert syntax.diagnose(text, path)
