@@ -16,7 +16,7 @@ from codeloom.operators import search as S
 from codeloom.operators import snapshots as SN
 from codeloom.plans.data_queries import _P2
 from codeloom.plans.graph_queries import BASE, CYCLE_TYPES, EDGES, LAYER, NODES, bfs_sql, edges, hub, hub_cte, nodes, sql_list, sql_rule, sql_values, written
-from codeloom.runtime import load
+from codeloom.runtime import load, small
 
 QUERY = "ledger invoice controller payment"
 
@@ -25,6 +25,11 @@ def files(s, d):
     return B.latest_files(load(s, d, "parse_results"))
 
 
+def texts(s, d):
+    """All deliveries with their texts: what is extracted from them is made distinct afterwards, so that no text is shuffled."""
+    return load(s, d, "parse_results").withColumn("language", F.lower("language"))
+
+
 def language_distribution(s, d):
     return R.language_distribution(nodes(s, d))
 
@@ -193,50 +198,56 @@ def role_of_path(s, d):
 def excluded_files(s, d):
     """Files that an exclude pattern of their workspace names."""
     p = load(s, d, "engine_configs").select("workspace", F.explode("exclude_patterns").alias("pattern"))
-    f = files(s, d).join(F.broadcast(p), "workspace")  # one row a pattern of a workspace's settings
+    f = files(s, d).join(small(p), "workspace")  # one row a pattern of a workspace's settings
     return f.filter(C.excluded_by("file_path", "pattern")).select("file_id").distinct()
 
 
 def oversized_files(s, d):
     """Files beyond the size limit of their workspace; no limit or 0 is 3 MB."""
     c = load(s, d, "engine_configs").select("workspace", F.coalesce(F.nullif("max_file_size", F.lit(0)), F.lit(3 * 1024 * 1024)).alias("most"))
-    return files(s, d).join(F.broadcast(c), "workspace").filter("byte_count > most").select("file_id", "most")
+    return files(s, d).join(small(c), "workspace").filter("byte_count > most").select("file_id", "most")
 
 
 def content_hash(s, d):
-    return files(s, d).select("file_id", F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
+    return texts(s, d).select("file_id", F.substring(F.sha2("content", 256), 1, 16).alias("hash")).distinct()
 
 
 def _lines(s, d):
-    return E.lines_of(files(s, d))
+    return E.lines_of(texts(s, d))
 
 
 def symbols(s, d):
-    return E.symbols(_lines(s, d))
+    return E.symbols(_lines(s, d)).distinct()
 
 
 def imports(s, d):
-    return E.imports(_lines(s, d)).select("file_id", "line_no", "source")
+    return E.imports(_lines(s, d)).select("file_id", "line_no", "source").distinct()
 
 
 def ddl_columns(s, d):
-    return E.table_columns(files(s, d))
+    return E.table_columns(texts(s, d)).distinct()
 
 
 def ddl_foreign_keys(s, d):
-    return E.foreign_keys(files(s, d))
+    return E.foreign_keys(texts(s, d)).distinct()
+
+
+def _docker_lines(s, d):
+    """The few lines of Docker files; only they are made distinct."""
+    t = texts(s, d).filter(F.lower(C.base_name("file_path")).startswith("dockerfile"))
+    return E.lines_of(t).distinct()
 
 
 def dockerfiles(s, d):
-    return E.dockerfiles(_lines(s, d)).select("file_id", "image", F.array_join("ports", ",").alias("ports"))
+    return E.dockerfiles(_docker_lines(s, d)).select("file_id", "image", F.array_join("ports", ",").alias("ports"))
 
 
 def yaml_keys(s, d):
-    return E.yaml_keys(_lines(s, d))
+    return E.yaml_keys(_lines(s, d)).distinct()
 
 
 def json_keys(s, d):
-    return E.json_keys(files(s, d))
+    return E.json_keys(texts(s, d)).distinct()
 
 
 def markdown_headings(s, d):
@@ -258,7 +269,7 @@ def file_modules(s, d):
 
 
 def import_resolution(s, d):
-    return B.resolved_imports(E.imports(_lines(s, d)), files(s, d))
+    return B.resolved_imports(E.imports(_lines(s, d)).distinct(), files(s, d))
 
 
 def external_packages(s, d):
@@ -350,9 +361,11 @@ def status_metrics(s, d):
 
 def tree_view(s, d):
     """The first fifty nodes of each type, and how many there are."""
-    w = Window.partitionBy("type")
-    n = nodes(s, d).select("id", "type", F.row_number().over(w.orderBy("generation_created", "id")).alias("place"), F.count("*").over(w).alias("n"))
-    return n.filter("place <= 50")
+    n = nodes(s, d).select("id", "type", "generation_created")
+    # the window's limit is taken in each task first; the counts are one row a type
+    first = n.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("generation_created", "id"))).filter("place <= 50")
+    counts = n.groupBy(F.col("type").alias("_t")).agg(F.count("*").alias("n"))
+    return first.join(counts, F.col("type").eqNullSafe(F.col("_t"))).select("id", "type", "place", "n")
 
 
 def search_listing(s, d):
@@ -366,7 +379,7 @@ def file_stats(s, d):
 
 
 def routes(s, d):
-    return E.routes(_lines(s, d))
+    return E.routes(_lines(s, d)).distinct()
 
 
 def project_directories(s, d):

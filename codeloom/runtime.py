@@ -9,17 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that `small` lets a join broadcast.
-BROADCAST_ROWS = 50_000
+#: Largest table, in rows and in bytes as written, that `small` lets a join broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 * 1024 * 1024
 
 _kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), one of our own."""
+    """The cluster's shared folder; only where none is named and Spark runs on this machine alone (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
     own = getattr(spark.sparkContext, "_codeloom_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="codeloom-")
@@ -67,9 +69,20 @@ def _sweep() -> None:
             return
 
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the written table `table` has at most `rows` rows; else join by shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def written_bytes(table: DataFrame) -> int | None:
+    """Bytes of a table that `cut` wrote; None for others."""
+    path = getattr(table, "_codeloom_path", None)
+    if path is None:
+        return None
+    jvm, spark = table.sparkSession.sparkContext._jvm, table.sparkSession
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the written table `table` has at most `rows` rows and `most` bytes; else join by shuffle."""
+    size = written_bytes(table)
+    return F.broadcast(table) if (size is None or size <= most) and table.limit(rows + 1).count() <= rows else table
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
