@@ -40,6 +40,8 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= TAKEN:
+            raise ValueError("ids are held in 16 bits: a vocabulary of more than 65,534 is not supported")
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
