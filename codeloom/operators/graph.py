@@ -260,7 +260,63 @@ def levels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEVELS.items()), "type string, level int")
 
 
-def strongly_connected(edges: DataFrame, types: list[str]) -> DataFrame:
+#: Edges that are few enough for one task to find their components.
+ONE_TASK_EDGES = 200_000
+
+
+def _components(batches):
+    """id, component of the strongly connected components of all edges (source, target) of one partition, by depth-first search without recursion."""
+    import pyarrow as pa
+
+    names: dict[str, int] = {}
+    out: list[list[int]] = []
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for v in (x, y):
+                if v not in names:
+                    names[v] = len(out)
+                    out.append([])
+            out[names[x]].append(names[y])
+    ids = list(names)
+    order, low, on, stack, found = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [], []
+    seen = 0
+    for root in range(len(ids)):
+        if order[root] >= 0:
+            continue
+        work = [(root, iter(out[root]))]
+        order[root] = low[root] = seen
+        seen += 1
+        stack.append(root)
+        on[root] = True
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if order[w] < 0:
+                    order[w] = low[w] = seen
+                    seen += 1
+                    stack.append(w)
+                    on[w] = True
+                    work.append((w, iter(out[w])))
+                    break
+                if on[w]:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        on[part[-1]] = False
+                    if len(part) > 1:
+                        least = min(ids[x] for x in part)
+                        found += [(ids[x], least) for x in part]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["id", "component"])
+
+
+def strongly_connected(edges: DataFrame, types: list[str], one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """id, component (its least id), size of the strongly connected components of two ids and more.
 
     Ids without an edge in or out are trimmed while that removes a tenth. Then every
@@ -268,7 +324,8 @@ def strongly_connected(edges: DataFrame, types: list[str]) -> DataFrame:
     round along the edges and, to halve what is left of the way, from the least id
     it knows. Where both are one, the id and that least id lead to each other; such
     components are taken out and the rest goes on. Takes about log(longest way)
-    rounds for each layer of components.
+    rounds for each layer of components. What is left of at most one_task edges is
+    solved in one task, with the same result.
     """
     spark = edges.sparkSession
     rest = cut(edges.filter(F.col("type").isin(types)).filter("source <> target").select("source", "target").distinct())
@@ -285,6 +342,10 @@ def strongly_connected(edges: DataFrame, types: list[str]) -> DataFrame:
                 break
         if not n:
             break
+        if n <= one_task:
+            part = cut(rest.coalesce(1).mapInArrow(_components, "id string, component string"))
+            done = part if done is None else done.unionByName(part)
+            break
         ids = rest.select(F.col("source").alias("id")).unionByName(rest.select(F.col("target").alias("id"))).distinct()
         least = cut(ids.select("id", F.col("id").alias("f"), F.col("id").alias("b"), F.lit(True).alias("moved")))
         none = F.lit(None).cast("string")

@@ -99,13 +99,13 @@ def hotspots(cc: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     return j.withColumn("score", score).filter("score >= 30").orderBy(F.desc("score"), "id").limit(limit).select("id", "cc", "coupling", "score")
 
 
-def maintainability(nodes: DataFrame, files: DataFrame, edges: DataFrame, cycle_types: list[str]) -> DataFrame:
-    """One row: averages, cycles, hot spots, score and grade."""
+def maintainability(nodes: DataFrame, files: DataFrame, edges: DataFrame, cycle_types: list[str], cycle_edges: DataFrame | None = None) -> DataFrame:
+    """One row: averages, cycles (of cycle_edges if given), hot spots, score and grade."""
     cc = cut(file_complexity(files))
     parts = beside(
         cc.agg(F.coalesce(F.avg("cc"), F.lit(1.0)).alias("avg_cc")),
         module_coupling(nodes, edges).agg(F.coalesce(F.avg("instability"), F.lit(0.0)).alias("avg_instability")),
-        strongly_connected(edges, cycle_types).agg(F.countDistinct("component").alias("n_cycles")),
+        strongly_connected(edges if cycle_edges is None else cycle_edges, cycle_types).agg(F.countDistinct("component").alias("n_cycles")),
         hotspots(cc, edges).agg(F.count("*").alias("n_hot")),
     )
     score = C.maintainability(F.col("avg_cc"), F.col("avg_instability"), F.col("n_cycles"), F.col("n_hot"))
