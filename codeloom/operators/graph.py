@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import clamp01, layer_of, resolution_rank, risk_of
 from codeloom.functions.keys import clean_id
-from codeloom.functions.rules import LAYER_RULES, LEVELS, PARENTS, RELATIONS
+from codeloom.functions.rules import LAYER_RULES, PARENTS, RELATIONS
 from codeloom.operators.references import latest_edges
 from codeloom.runtime import BROADCAST_ROWS, cut, release, small
 
@@ -175,17 +175,28 @@ def shortest_path(steps: DataFrame, source: str, target: str, max_depth: int = 5
 
 
 def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """id, kind: direct and transitive dependents of the starts, and the tests, endpoints and services within reach."""
-    direct = bfs(oriented(edges, "incoming", DIRECT_IMPACT), starts, 1).filter("depth > 0").select("id")
-    further = bfs(oriented(edges, "incoming", TRANSITIVE_IMPACT), starts, depth).filter("depth > 0").select("id").join(direct, "id", "left_anti")
-    # tests and endpoints share one traversal
-    incoming = bfs(oriented(edges, "incoming"), starts, depth + 1).filter("depth > 0").select("id").join(nodes.select("id", "type"), "id")
-    both = bfs(oriented(edges, "both"), starts, depth + 1).filter("depth > 0").select("id").join(nodes.select("id", "type"), "id")
-    of = lambda t, types, kind: t.filter(F.col("type").isin(types)).select("id", F.lit(kind).alias("kind"))
+    """id, kind: direct and transitive dependents of the starts, and the tests, endpoints and services within reach.
+
+    The three ways to go (t: edges that carry a change on, i: any edge back, b: any edge)
+    are walked by one traversal, whose ids bear the way as their first letter.
+    """
+    near = small(cut(starts.select("id").distinct()))
+    first = oriented(edges, "incoming", DIRECT_IMPACT).join(near.select(F.col("id").alias("src")), "src", "left_semi")
+    direct = cut(first.select(F.col("dst").alias("id")).distinct().join(near, "id", "left_anti"))
+    ways = {"t": oriented(edges, "incoming", TRANSITIVE_IMPACT), "i": oriented(edges, "incoming"), "b": oriented(edges, "both")}
+    steps = None
+    for way, e in ways.items():
+        marked = e.select(F.concat(F.lit(way), "src").alias("src"), F.concat(F.lit(way), "dst").alias("dst"))
+        steps = marked if steps is None else steps.unionByName(marked)
+    begin = near.select(F.explode(F.array(*(F.concat(F.lit(w), "id") for w in ways))).alias("id"))
+    reached = bfs(steps, begin, depth + 1).filter("depth > 0").select(F.substring("id", 1, 1).alias("way"), F.expr("substring(id, 2)").alias("id"), "depth")
+    further = reached.filter((F.col("way") == "t") & (F.col("depth") <= depth)).select("id").join(small(direct), "id", "left_anti")
+    typed = reached.filter("way <> 't'").join(nodes.filter("type IN ('test-suite', 'api-endpoint', 'service', 'docker-service')").select("id", "type"), "id")
+    kind = F.expr("CASE WHEN way = 'i' AND type = 'test-suite' THEN 'test' WHEN way = 'i' AND type = 'api-endpoint' THEN 'api' WHEN way = 'b' AND type IN ('service', 'docker-service') THEN 'service' END")
     return (
         direct.join(nodes, "id", "left_semi").select("id", F.lit("direct").alias("kind"))
         .unionByName(further.join(nodes, "id", "left_semi").select("id", F.lit("transitive").alias("kind")))
-        .unionByName(of(incoming, ["test-suite"], "test")).unionByName(of(incoming, ["api-endpoint"], "api")).unionByName(of(both, ["service", "docker-service"], "service"))
+        .unionByName(typed.select("id", kind.alias("kind")).filter("kind IS NOT NULL"))
     )
 
 
@@ -256,10 +267,6 @@ def parent_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.groupBy("parent_type", "child_type").agg(F.count("*").alias("n")).join(rules, ["child_type", "parent_type"], "left_anti").select("parent_type", "child_type", "n")
 
 
-def levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEVELS.items()), "type string, level int")
-
-
 #: Edges that are few enough for one task to find their components.
 ONE_TASK_EDGES = 200_000
 

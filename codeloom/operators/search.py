@@ -73,16 +73,18 @@ def cosine(vecs: DataFrame, query: str) -> DataFrame:
     return vecs.join(F.broadcast(q), "dim").groupBy("id").agg(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("qw"))).alias("sim"))  # at most 256 rows
 
 
-def hybrid_search(nodes: DataFrame, query: str, limit: int = 20, types: list[str] | None = None, min_score: float = 0.05) -> DataFrame:
+def hybrid_search(nodes: DataFrame, query: str, limit: int = 20, types: list[str] | None = None, min_score: float = 0.05, dense_all: bool = False) -> DataFrame:
     """id, bm25, dense, score of the best nodes: ranks of both channels fused, exact and similar names favoured.
 
-    Ranks are taken over the candidates only, which hold a query term; ties go by id.
+    From DENSE_ALL texts on, the dense channel takes the texts that hold a query term
+    only, as the public behaviour has it; dense_all takes all texts whatever their
+    number. Ties go by id.
     A query without terms finds nothing.
     """
     spark = nodes.sparkSession
     texts = cut(node_texts(nodes))
     lexical = cut(bm25(postings(texts), texts, expand_terms(spark, query)))
-    whole = texts.limit(DENSE_ALL).count() < DENSE_ALL
+    whole = dense_all or texts.limit(DENSE_ALL).count() < DENSE_ALL
     dense = cosine(vectors(texts if whole else texts.join(lexical.select("id"), "id", "left_semi")), query).filter(F.col("sim") > LEAST_COSINE)
     a = ranked(lexical.filter("score > 0"), "a", F.desc("score"), F.col("id"))
     b = ranked(dense, "b", F.desc("sim"), F.col("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.columns import normal_path
 from codeloom.operators import graph as G
+from codeloom.operators import lookups as L
 from codeloom.operators import reports as R
 from codeloom.operators import search as S
 from codeloom.operators import snapshots as SN
@@ -51,6 +52,9 @@ class Engine:
     def get_documentation_health(self) -> DataFrame:
         return R.doc_health(self.nodes)
 
+    def get_symbols(self, text: str, kind: str | None = None) -> DataFrame:
+        return L.search_symbols(L.symbol_index(self.read("parse_results")), text, kind)
+
     def get_graph_diff(self) -> DataFrame:
         return SN.snapshot_changes(self.read("node_snapshots"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import columns as C
 from codeloom.functions import frameworks as FW
 from codeloom.operators import build as B
 from codeloom.operators import context as X
@@ -21,6 +22,7 @@ from codeloom.plans.graph_queries import CYCLE_TYPES, sql_list
 from codeloom.plans.report_queries import ORACLE as REPORTS
 from codeloom.plans.report_queries import ROLE, texts
 from codeloom.runtime import load
+from codeloom.sources.store import history_summary, record_run
 
 #: Literal rows: files with relative imports.
 FILES = [
@@ -50,6 +52,17 @@ CLASSES = [
     (4, "javascript", "export default class E extends Missing {}\n"),
     (5, "java", None),
 ]
+#: Literal rows: files with endpoints.
+ROUTED = [
+    (1, "a.ts", "typescript", "app.get('/users', f);\nrouter.post(`items`, g);\n@Delete('x')\n"),
+    (2, "a.py", "python", "@app.route('/home')\n@app.put('/y')\n"),
+    (3, "A.java", "java", '@GetMapping("/j")\n'),
+    (4, "a.cs", "csharp", '[HttpPost("c")]\n'),
+    (5, "a.rs", "rust", '#[get("/r")]\n'),
+    (6, "a.go", "go", 'r.GET("/g", h)\n'),
+    (7, "b.ts", "typescript", None),
+]
+COMPOSE = "version: '3'\nservices:\n  web:\n    image: 'nginx:1'\n    ports:\n      - '80:80'\n    depends_on:\n      - db\n      - cache\n  db:\n    image: postgres\nvolumes:\n  data:\n"
 TABLES = "CREATE TABLE customer (id INT PRIMARY KEY, region_id INT REFERENCES region(id), name TEXT NOT NULL);\nCREATE TABLE region (id INT);\nCREATE TABLE IF NOT EXISTS orders (id INT, customer_id INT, FOREIGN KEY (customer_id) REFERENCES customer(id), FOREIGN KEY (part_id) REFERENCES part(id));\n"
 
 
@@ -292,6 +305,56 @@ def _with_tables(keys, columns):
     return keys.unionByName(rest, allowMissingColumns=True)
 
 
+def fixture_routes(s, d):
+    return E.routes(E.lines_of(s.createDataFrame(ROUTED, "file_id long, file_path string, language string, content string")))
+
+
+def fixture_projects(s, d):
+    return B.projects(s.createDataFrame([("a/package.json",), ("a/b/go.mod",), ("Cargo.toml",), ("c/x.csproj",), ("c/y.sln",), ("d/package.json.bak",), ("a/package.json",), (None,)], "file_path string"))
+
+
+def fixture_compose(s, d):
+    f = s.createDataFrame([(1, "deploy/docker-compose.yml", "docker", COMPOSE), (2, "deploy/other.yml", "yaml", COMPOSE)], "file_id long, file_path string, language string, content string")
+    t = E.compose_services(E.lines_of(f))
+    return t.select("service", "image", F.array_join("ports", ",").alias("ports"), F.array_join("depends_on", ",").alias("depends_on"))
+
+
+def fixture_import_resolution(s, d):
+    f = s.createDataFrame([(1, "a/x.ts"), (2, "a/y.js"), (3, "a/y.ts"), (4, "lib/z/index.ts"), (5, "a/y.ts")], "file_id long, file_path string")
+    i = s.createDataFrame([(1, "a/x.ts", 1, "./y"), (1, "a/x.ts", 2, "../lib/z"), (1, "a/x.ts", 3, "./none"), (1, "a/x.ts", 4, "left-pad"), (1, "a/x.ts", 5, "./y.js")], "file_id long, file_path string, line_no int, source string")
+    return B.resolved_imports(i, f)
+
+
+def fixture_handlers(s, d):
+    e = s.createDataFrame([("api:GET:/a", "r.ts"), ("api:GET:/b", "none.ts")], "id string, file_path string")
+    y = s.createDataFrame([("c", "class", "r.ts", 0), ("f", "function", "r.ts", 2), ("m", "method", "r.ts", 1)], "id string, kind string, file_path string, seq int")
+    return B.endpoint_handlers(e, y)
+
+
+def fixture_gaps(s, d):
+    """What three chains lack: components without tests, a controller without a service, nothing at all."""
+    kind = "stage string, id string"
+    a = X.gaps(s.createDataFrame([("frontend-component", "c"), ("existing-tests", None), ("backend-controller", "h"), ("service-layer", None)], kind)).withColumn("chain", F.lit("a"))
+    b = X.gaps(s.createDataFrame([("frontend-component", None), ("existing-tests", None)], kind)).withColumn("chain", F.lit("b"))
+    return a.unionByName(b).unionByName(X.gaps(s.createDataFrame([("frontend-component", "c"), ("existing-tests", "t")], kind)).withColumn("chain", F.lit("c")))
+
+
+def fixture_stale_tests(s, d):
+    """Test stories of stale stories, over the stories of two workflows told flat."""
+    stories = s.createDataFrame([("w1:s1", 0, "src/a/ledger.ts"), ("w1:s2", 0, "src/b.ts"), ("w2:s1", 1, "x\\y\\panel.ts"), ("w2:s1", 0, None)], "story_id string, place int, path string")
+    stale = R.stale_stories(stories.filter("path IS NOT NULL"), s.createDataFrame([("repo/src/a/ledger.ts",), ("y/panel.ts",)], "path string"))
+    return R.stale_tests(s.createDataFrame([("t1", "w1:s1"), ("t2", "w1:s2"), ("t3", "w2:s1"), ("t4", None)], "test_id string, story_id string"), stale).select("test_id", "story_id")
+
+
+def fixture_history(s, d):
+    h = s.createDataFrame([(1, "full-scan"), (2, "incremental"), (3, "full-scan"), (4, "incremental"), (5, None)], "generation int, trigger string")
+    return history_summary(record_run(h, s.createDataFrame([(6, "incremental")], "generation int, trigger string")))
+
+
+def fixture_resolution(s, d):
+    return s.createDataFrame([(0.95,), (0.9,), (0.7,), (0.69,), (0.5,), (0.1,)], "confidence double").select("confidence", C.resolution_of("confidence").alias("resolution"))
+
+
 def fixture_module_projects(s, d):
     m = s.createDataFrame([("apps/web/src",), ("apps/web",), ("libs/x",), ("z",)], "path string")
     p = s.createDataFrame([("apps/w", 2), ("apps/web", 1), (".", 3), ("libs", 4)], "path string, seq int")
@@ -304,7 +367,7 @@ QUERIES = {
         find_edge, nodes_by_role, search_concepts, file_index, file_index_by_generation, symbol_search, symbols_by_kind, symbols_without_files, symbols_without_node, evidence_confident, evidence_resolved, evidence_order, evidence_sentences,
         node_merge_fields, edge_evidence, edge_snapshot_diff, edge_snapshot_report, edge_diff_back, top_consumers, extras_bag, tested_and_contained, impact_report_risk, import_statements, go_packages,
         sql_symbols, chat_keywords, token_sum, prompt_scores, invalid_json, node_items, dependency_cycles, dependency_maintainability, capability_confidence, discovery_components, open_questions,
-        fixture_import_statements, fixture_import_edges, fixture_base_types, fixture_inheritance, fixture_frameworks, fixture_test_frameworks, fixture_keys, fixture_module_projects,
+        fixture_import_statements, fixture_import_edges, fixture_base_types, fixture_inheritance, fixture_frameworks, fixture_test_frameworks, fixture_keys, fixture_module_projects, fixture_routes, fixture_projects, fixture_compose, fixture_import_resolution, fixture_handlers, fixture_gaps, fixture_stale_tests, fixture_history, fixture_resolution,
     )
 }
 
@@ -388,5 +451,14 @@ ORACLE = {
     "fixture_base_types": "SELECT CAST(2 AS BIGINT) AS file_id, 'Ledger' AS name, a AS relation, b AS base FROM (VALUES ('extends', 'Base'), ('implements', 'Reader'), ('implements', 'Writer')) t(a, b)",
     "fixture_frameworks": "SELECT a AS file_path, b AS framework, c AS version, d AS category FROM (VALUES ('a/package.json', 'Next.js', '14.1.0', 'frontend'), ('b/package.json', 'Express', '5.0.0', 'backend'), ('c/package.json', 'NestJS', '10.2.1', 'backend')) t(a, b, c, d)",
     "fixture_keys": "SELECT a AS source, b AS target, 'depends-on' AS type FROM (VALUES ('table:customer', 'table:region'), ('table:orders', 'table:customer')) t(a, b)",
+    "fixture_routes": "SELECT CAST(a AS BIGINT) AS file_id, b AS line_no, c AS method, d AS path FROM (VALUES (1, 1, 'GET', '/users'), (1, 2, 'POST', '/items'), (1, 3, 'DELETE', '/x'), (2, 1, 'GET', '/home'), (2, 2, 'PUT', '/y'), (3, 1, 'GET', '/j'), (4, 1, 'POST', '/c'), (5, 1, 'GET', '/r'), (6, 1, 'GET', '/g')) t(a, b, c, d)",
+    "fixture_projects": "SELECT a AS path, b AS kind FROM (VALUES ('a', 'npm'), ('a/b', 'go-module'), ('.', 'cargo'), ('c', 'dotnet')) t(a, b)",
+    "fixture_compose": "SELECT a AS service, b AS image, c AS ports, d AS depends_on FROM (VALUES ('web', 'nginx:1', '80:80', 'cache,db'), ('db', 'postgres', '', '')) t(a, b, c, d)",
+    "fixture_import_resolution": "SELECT CAST(1 AS BIGINT) AS file_id, a AS line_no, b AS source, CAST(c AS BIGINT) AS target_id FROM (VALUES (1, './y', 3), (2, '../lib/z', 4), (5, './y.js', 2)) t(a, b, c)",
+    "fixture_handlers": "SELECT 'api:GET:/a' AS source, 'm' AS target",
+    "fixture_gaps": "SELECT a AS chain, b AS gap FROM (VALUES ('a', 'tests'), ('a', 'service'), ('b', 'nothing-found')) t(a, b)",
+    "fixture_stale_tests": "SELECT a AS test_id, b AS story_id FROM (VALUES ('t1', 'w1:s1'), ('t3', 'w2:s1')) t(a, b)",
+    "fixture_history": "SELECT 6 AS current, CAST(6 AS BIGINT) AS runs, 3 AS last_full, 6 AS last_incremental",
+    "fixture_resolution": "SELECT CAST(a AS DOUBLE) AS confidence, b AS resolution FROM (VALUES (0.95, 'confirmed'), (0.9, 'confirmed'), (0.7, 'resolved'), (0.69, 'heuristic'), (0.5, 'heuristic'), (0.1, 'unresolved')) t(a, b)",
     "fixture_module_projects": "SELECT a AS source, b AS target FROM (VALUES ('project:apps/web', 'module:apps/web/src'), ('project:apps/web', 'module:apps/web'), ('project:.', 'module:libs/x'), ('project:.', 'module:z')) t(a, b)",
 }

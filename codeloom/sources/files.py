@@ -27,6 +27,23 @@ def scan(spark: SparkSession, root: str, excludes: list[str] | None = None, max_
     return f.select("file_path", "language", F.col("length").alias("byte_count"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"), F.col("modificationTime").alias("modified"), F.expr("make_valid_utf8(content)").alias("content"))
 
 
+def skipped(spark: SparkSession, root: str, excludes: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """file_path, error of the files below root that `scan` leaves out: too large, excluded, of no known language, or unreadable.
+
+    The listing is read without contents; what passes its rules but does not come out of the scan is unreadable.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    below = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + "/" + root.split(":")[-1].strip("/").replace(".", r"\.") + "/+", "")
+    listed = raw.select(below.alias("file_path"), "length")
+    out = F.lit(False)
+    for p in excludes or []:
+        out = out | C.excluded_by("file_path", F.lit(p))
+    why = F.when(F.col("length") > (max_bytes or MAX_BYTES), "too large").when(out, "excluded").when(C.language_of("file_path").isNull(), "unknown language")
+    ruled = listed.select("file_path", why.alias("error"))
+    read = scan(spark, root, excludes, max_bytes).select("file_path")
+    return ruled.filter("error IS NOT NULL").unionByName(ruled.filter("error IS NULL").join(read, "file_path", "left_anti").withColumn("error", F.lit("unreadable")))
+
+
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files that are new or whose hash differs from what is known (file_path, hash)."""
     old = known.select("file_path", F.col("hash").alias("old"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,31 @@ def record_run(history: DataFrame, run: DataFrame) -> DataFrame:
     return history.unionByName(run, allowMissingColumns=True).orderBy(F.desc("generation")).limit(HISTORY)
 
 
+def save_history(history: DataFrame, path: str) -> None:
+    """Write the history as JSON lines, as load_history reads them; HISTORY rows at most."""
+    history.orderBy(F.desc("generation")).limit(HISTORY).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_artifacts(artifacts: list[dict], folder: str) -> tuple[list[str], list[str]]:
+    """Write the selected artifacts (path, content, selected) below a folder; (written, failed) paths. A path that leads out of the folder fails."""
+    written, failed = [], []
+    root = os.path.realpath(folder)
+    for a in artifacts:
+        if not a.get("selected"):
+            continue
+        where = os.path.realpath(os.path.join(root, a["path"]))
+        try:
+            if os.path.commonpath([root, where]) != root:
+                raise OSError("outside the folder")
+            os.makedirs(os.path.dirname(where), exist_ok=True)
+            with open(where, "w", encoding="utf-8") as f:
+                f.write(a.get("content") or "")
+            written.append(a["path"])
+        except OSError:
+            failed.append(a["path"])
+    return written, failed
+
+
 def load_history(spark: SparkSession, path: str) -> DataFrame:
     """generation, trigger, n_files, n_nodes, n_edges, duration_ms of the runs; broken lines are left out."""
     schema = "generation int, trigger string, n_files long, n_nodes long, n_edges long, duration_ms long, _broken string"
@@ -104,4 +130,4 @@ def to_json(df: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], default=str)
 
 
-__all__ = ["HISTORY", "GraphStore", "history_summary", "load_history", "record_run", "to_json"]
+__all__ = ["HISTORY", "GraphStore", "history_summary", "load_history", "record_run", "save_history", "to_json", "write_artifacts"]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.operators.graph import remove_nodes
+
 #: Events: path, kind (update or delete), content, at.
 EVENTS = "path string, kind string, content string, at timestamp"
 
@@ -36,6 +38,20 @@ def apply_batch(files: DataFrame, events: DataFrame, generation: int) -> DataFra
     return j.select("path", pick("content", F.col("_content")), pick("hash", F.col("_hash")), pick("generation", F.lit(generation)))
 
 
+def drop_files(nodes: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a batch: nodes of the paths whose last event is a deletion go, and the edges that touch them."""
+    gone = last_of_each(events).filter("kind = 'delete'").select(F.col("path").alias("file_path"))
+    return remove_nodes(nodes, edges, nodes.join(gone, "file_path", "left_semi").select("id"))
+
+
+def live_view(files: DataFrame, path: str, content: str) -> DataFrame:
+    """The files as if one of them had the content of an open editor; nothing is kept, and no generation begins."""
+    spark = files.sparkSession
+    event = spark.createDataFrame([(path, "update", content, None)], EVENTS)
+    current = files.agg(F.max("generation")).first()[0]
+    return apply_batch(files, event, current or 0)
+
+
 def follow(events: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Run `on_batch` on each micro-batch of events; the batch's number is the generation."""
     w = events.writeStream.foreachBatch(lambda df, i: on_batch(df, i + 1)).option("checkpointLocation", checkpoint)

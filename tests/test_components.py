@@ -25,4 +25,5 @@ def test_random_graphs(spark, seed):
         same = {b for b in reach[a] if a in reach[b]}
         if len(same) > 1:
             want.add((a, min(same), len(same)))
-    assert {(x.id, x.component, x["size"]) for x in G.strongly_connected(df, ["calls"]).collect()} == want
+    for one_task in (0, G.ONE_TASK_EDGES):  # all rounds, and the rest in one task
+        assert {(x.id, x.component, x["size"]) for x in G.strongly_connected(df, ["calls"], one_task).collect()} == want
