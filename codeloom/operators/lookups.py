@@ -9,7 +9,6 @@ from codeloom.functions.columns import base_name, clamp01, folded_path, role_of
 from codeloom.functions.frameworks import TEST_FRAMEWORKS, framework_category, npm_framework
 from codeloom.functions.keys import clean_id
 from codeloom.operators.graph import search_nodes
-from codeloom.operators.references import latest_edges
 
 
 def find_edge(edges: DataFrame, source: str, target: str, type_: str) -> DataFrame:
@@ -41,10 +40,12 @@ def merged_nodes(rows: DataFrame) -> DataFrame:
 def merged_evidence(rows: DataFrame) -> DataFrame:
     """source, target, type, evidence: all evidence of the edges merged, each entry once, surest first.
 
-    Rows are the latest delivery of each edge_id. Entries are made distinct before they
-    are gathered, so a pair delivered under many edge_ids brings each entry once.
+    Of an edge_id all deliveries of its highest generation_verified count. Entries are
+    made distinct before they are gathered, so a pair delivered under many edge_ids
+    brings each entry once.
     """
-    one = latest_edges(rows.select("edge_id", "generation_verified", clean_id("source").alias("source"), clean_id("target").alias("target"), "type", "evidence"), "source", "target", "type", "evidence")
+    w = Window.partitionBy("edge_id").orderBy(F.desc_nulls_last("generation_verified"))
+    one = rows.select("edge_id", "generation_verified", clean_id("source").alias("source"), clean_id("target").alias("target"), "type", "evidence").withColumn("_r", F.rank().over(w)).filter("_r = 1")
     entries = one.filter("source IS NOT NULL AND target IS NOT NULL AND type IS NOT NULL").select("source", "target", "type", F.explode("evidence").alias("e")).distinct()
     ordered = F.sort_array(F.collect_list(F.struct((-F.coalesce("e.confidence", F.lit(0.0))).alias("k"), F.col("e").alias("e"))))
     return entries.groupBy("source", "target", "type").agg(F.transform(ordered, lambda x: x["e"]).alias("evidence"))

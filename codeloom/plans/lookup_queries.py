@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
 from codeloom.functions import frameworks as FW
+from codeloom.operators import assemble as A
 from codeloom.operators import build as B
 from codeloom.operators import context as X
 from codeloom.operators import extract as E
@@ -305,6 +306,19 @@ def _with_tables(keys, columns):
     return keys.unionByName(rest, allowMissingColumns=True)
 
 
+def built_graph(s, d):
+    """Nodes and edges that the files give, by kind."""
+    n, e = A.graph_of(load(s, d, "parse_results"))
+    return n.groupBy(F.lit("node").alias("kind"), "type").agg(F.count("*").alias("n")).unionByName(e.groupBy(F.lit("edge").alias("kind"), "type").agg(F.count("*").alias("n")))
+
+
+def fixture_graph(s, d):
+    """The edges of the graph that a few files give, but for those of symbols and modules."""
+    rows = [(i, "web", p, l, c) for i, p, l, c in FILES] + [(20, "web", "db/t.sql", "SQL", TABLES), (21, "web", "web/package.json", "json", "{}"), (22, "web", "svc/Dockerfile", "docker", "FROM x\n"), (23, "web", "web/src/base.ts", "typescript", "export class Base {}\nexport interface Reader {}\n"), (24, "web", "web/src/api.ts", "typescript", "app.get('/a', go);\nexport function go() {}\n"), (24, "web", "web/src/api.ts", "typescript", "app.get('/a', go);\nexport function go() {}\n")]
+    _, e = A.graph_of(s.createDataFrame(rows, "file_id long, repo string, file_path string, language string, content string"))
+    return e.filter("type NOT IN ('defined-in') AND NOT (type = 'contains' AND target LIKE 'component:%') AND NOT (type = 'contains' AND source LIKE 'module:%')").select("source", "target", "type")
+
+
 def fixture_routes(s, d):
     return E.routes(E.lines_of(s.createDataFrame(ROUTED, "file_id long, file_path string, language string, content string")))
 
@@ -367,7 +381,7 @@ QUERIES = {
         find_edge, nodes_by_role, search_concepts, file_index, file_index_by_generation, symbol_search, symbols_by_kind, symbols_without_files, symbols_without_node, evidence_confident, evidence_resolved, evidence_order, evidence_sentences,
         node_merge_fields, edge_evidence, edge_snapshot_diff, edge_snapshot_report, edge_diff_back, top_consumers, extras_bag, tested_and_contained, impact_report_risk, import_statements, go_packages,
         sql_symbols, chat_keywords, token_sum, prompt_scores, invalid_json, node_items, dependency_cycles, dependency_maintainability, capability_confidence, discovery_components, open_questions,
-        fixture_import_statements, fixture_import_edges, fixture_base_types, fixture_inheritance, fixture_frameworks, fixture_test_frameworks, fixture_keys, fixture_module_projects, fixture_routes, fixture_projects, fixture_compose, fixture_import_resolution, fixture_handlers, fixture_gaps, fixture_stale_tests, fixture_history, fixture_resolution,
+        fixture_import_statements, fixture_import_edges, fixture_base_types, fixture_inheritance, fixture_frameworks, fixture_test_frameworks, fixture_keys, fixture_module_projects, built_graph, fixture_graph, fixture_routes, fixture_projects, fixture_compose, fixture_import_resolution, fixture_handlers, fixture_gaps, fixture_stale_tests, fixture_history, fixture_resolution,
     )
 }
 
@@ -438,7 +452,7 @@ ORACLE = {
         reach AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM reach r JOIN e ON e.s = r.t), same AS (SELECT a.s AS id, a.t AS other FROM reach a JOIN reach b ON b.s = a.t AND b.t = a.s),
         least_of AS (SELECT id, min(other) AS component FROM same GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM least_of""",
     "nodes_by_role": f"WITH {NODES} SELECT id FROM (SELECT id, {ROLE} AS role FROM (SELECT id, type, language, coalesce(file_path, '') AS file_path FROM nodes) WHERE type = 'component') WHERE role = 'service'",
-    "edge_evidence": f"""WITH o AS (SELECT {_ID.format(c="source")} AS source, {_ID.format(c="target")} AS target, type, evidence, row_number() OVER (PARTITION BY edge_id ORDER BY generation_verified DESC NULLS LAST, {_ID.format(c='source')} DESC NULLS LAST, {_ID.format(c='target')} DESC NULLS LAST, type DESC NULLS LAST, evidence DESC NULLS LAST) AS rn FROM graph_edges),
+    "edge_evidence": f"""WITH o AS (SELECT {_ID.format(c="source")} AS source, {_ID.format(c="target")} AS target, type, evidence, rank() OVER (PARTITION BY edge_id ORDER BY generation_verified DESC NULLS LAST) AS rn FROM graph_edges),
         x AS (SELECT DISTINCT source, target, type, unnest(evidence) AS e FROM o WHERE rn = 1 AND source IS NOT NULL AND target IS NOT NULL AND type IS NOT NULL) SELECT source, target, type, CAST(count(*) AS INT) AS n, max_by(e.confidence, coalesce(e.confidence, 0)) AS surest FROM x GROUP BY ALL""",
     "capability_confidence": f"SELECT round(avg(confidence), 6) AS confidence, count(*) AS n_stages FROM ({REPORTS['capability_chain']})",
     "discovery_components": f"WITH {NODES} SELECT s.id, CASE WHEN s.relevance >= 0.7 THEN 'direct' ELSE 'indirect' END AS affected FROM ({REPORTS['seed_relevance']}) s JOIN nodes n ON n.id = s.id WHERE n.type = 'component'",
@@ -451,6 +465,7 @@ ORACLE = {
     "fixture_base_types": "SELECT CAST(2 AS BIGINT) AS file_id, 'Ledger' AS name, a AS relation, b AS base FROM (VALUES ('extends', 'Base'), ('implements', 'Reader'), ('implements', 'Writer')) t(a, b)",
     "fixture_frameworks": "SELECT a AS file_path, b AS framework, c AS version, d AS category FROM (VALUES ('a/package.json', 'Next.js', '14.1.0', 'frontend'), ('b/package.json', 'Express', '5.0.0', 'backend'), ('c/package.json', 'NestJS', '10.2.1', 'backend')) t(a, b, c, d)",
     "fixture_keys": "SELECT a AS source, b AS target, 'depends-on' AS type FROM (VALUES ('table:customer', 'table:region'), ('table:orders', 'table:customer')) t(a, b)",
+    "fixture_graph": "SELECT a AS source, b AS target, c AS type FROM (VALUES ('file:web/src/app.ts', 'file:web/src/ledger.ts', 'imports'), ('file:web/src/app.ts', 'file:web/lib/rows.ts', 'imports'), ('file:web/src/app.ts', 'file:web/src/side/index.ts', 'imports'), ('file:web/src/app.ts', 'component:web/src/ledger.ts:Ledger', 'depends-on'), ('file:web/src/app.ts', 'component:web/src/ledger.ts:Panel', 'depends-on'), ('file:web/src/app.ts', 'component:web/lib/rows.ts:Row', 'depends-on'), ('file:web/src/app.ts', 'ext:fs-extra', 'uses-package'), ('file:svc/main.go', 'ext:fmt', 'uses-package'), ('file:svc/main.go', 'ext:code.example/svc/store', 'uses-package'), ('file:svc/one.go', 'ext:os', 'uses-package'), ('file:svc/Dockerfile', 'ext:x', 'uses-package'), ('component:web/src/ledger.ts:Ledger', 'component:web/src/base.ts:Base', 'extends'), ('component:web/src/ledger.ts:Ledger', 'component:web/src/base.ts:Reader', 'implements'), ('table:customer', 'table:region', 'depends-on'), ('table:orders', 'table:customer', 'depends-on'), ('file:db/t.sql', 'table:customer', 'contains'), ('file:db/t.sql', 'table:region', 'contains'), ('file:db/t.sql', 'table:orders', 'contains'), ('file:web/src/api.ts', 'api:GET:/a', 'contains'), ('api:GET:/a', 'symbol:web/src/api.ts:go', 'api-flow'), ('project:web', 'module:web/src', 'contains'), ('project:web', 'module:web/lib', 'contains'), ('project:web', 'module:web/package.json', 'contains')) t(a, b, c)",
     "fixture_routes": "SELECT CAST(a AS BIGINT) AS file_id, b AS line_no, c AS method, d AS path FROM (VALUES (1, 1, 'GET', '/users'), (1, 2, 'POST', '/items'), (1, 3, 'DELETE', '/x'), (2, 1, 'GET', '/home'), (2, 2, 'PUT', '/y'), (3, 1, 'GET', '/j'), (4, 1, 'POST', '/c'), (5, 1, 'GET', '/r'), (6, 1, 'GET', '/g')) t(a, b, c, d)",
     "fixture_projects": "SELECT a AS path, b AS kind FROM (VALUES ('a', 'npm'), ('a/b', 'go-module'), ('.', 'cargo'), ('c', 'dotnet')) t(a, b)",
     "fixture_compose": "SELECT a AS service, b AS image, c AS ports, d AS depends_on FROM (VALUES ('web', 'nginx:1', '80:80', 'cache,db'), ('db', 'postgres', '', '')) t(a, b, c, d)",

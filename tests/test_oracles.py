@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 CHECKED_ELSEWHERE = {
     "p6_descendants": "test_descendants",
     "dense_all": "test_search", "embedding_all": "test_search", "context_seeds": "test_search",
-    "routes": "fixture_routes", "project_directories": "fixture_projects", "import_resolution": "fixture_import_resolution", "feature_gaps": "fixture_gaps",
+    "built_graph": "fixture_graph", "routes": "fixture_routes", "project_directories": "fixture_projects", "import_resolution": "fixture_import_resolution", "feature_gaps": "fixture_gaps",
 } | {n: "tests/llm" for n in ("p3_found", "p3_kinds", "p4_found", "p4_rates", "p5_found", "p5_redacted_files", "p5_redacted_services", "p7_ids", "p8_found", "p8_report", "p9_pieces")}
 
 
