@@ -97,7 +97,9 @@ def rank_lists(lists: DataFrame) -> DataFrame:
         new = cut(rank.filter("nxt IS NULL").unionByName(moved))
         release(rank)
         rank = new
-    return rank.drop("nxt")
+    out = rank.drop("nxt")
+    out._codeloom_path = rank._codeloom_path
+    return out
 
 
 @dataclass
@@ -125,7 +127,8 @@ def build_forest(edges: DataFrame, kind: str = "contains") -> Forest:
     links = cut(links.select("v", "p", (F.col("n_kids") - F.coalesce("n_inner", F.lit(0)) + 1).alias("w")))
     on_loop = small(loops(links))
     nodes = links.join(on_loop.withColumn("on_loop", F.lit(True)), "v", "left").select("v", F.when(F.col("on_loop").isNull(), F.col("p")).alias("p"), "w")
-    ranked = rank_lists(euler_successors(cut(nodes)))
+    nodes = cut(nodes)
+    ranked = rank_lists(euler_successors(nodes))
     at = (F.col("e") % 2) == 0
     toured = ranked.groupBy(F.shiftright("e", 1).alias("v")).agg(
         F.max(F.when(at, -F.col("depth"))).cast("int").alias("depth"),
@@ -135,11 +138,14 @@ def build_forest(edges: DataFrame, kind: str = "contains") -> Forest:
     )
     loop_root = on_loop.select(F.col("v").alias("root_v"), F.lit(True).alias("looped"))
     roots = inner.select(F.col("v").alias("root_v"), F.col("id").alias("root_id"))
-    out = toured.join(loop_root, "root_v", "left").join(small(cut(roots.join(toured.select("root_v").distinct(), "root_v"))), "root_v")
+    used = cut(roots.join(toured.select("root_v").distinct(), "root_v"))
+    out = toured.join(loop_root, "root_v", "left").join(small(used), "root_v")
     out = out.join(inner.select("v", "k"), "v").select(
         "k", "v", "root_v", "root_id", F.coalesce("looped", F.lit(False)).alias("looped"), (F.coalesce("looped", F.lit(False)) & (F.col("v") == F.col("root_v"))).alias("on_loop"), "depth", "entry", "leave"
     )
-    return Forest(ids, cut(out))
+    forest = Forest(ids, cut(out))
+    release(inner, links, nodes, ranked, used)
+    return forest
 
 
 def hierarchy(edges: DataFrame, nodes: DataFrame, packages: DataFrame, kind: str = "contains") -> DataFrame:
@@ -159,6 +165,7 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, packages: DataFrame, kind: str
     # an id whose edges were all ignored has neither parent nor children: a tree of its own
     leaves = leaves.select("id", F.coalesce("looped", F.lit(False)).alias("looped"), F.lit(False).alias("on_loop"), F.coalesce("root_id", "id").alias("root_id"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = cut(inner.unionByName(leaves))
+    release(f.ids, f.inner)
     roots = small(cut(rows.filter("NOT looped").select("root_id").distinct()))
     types = nodes.select(clean_id("id").alias("root_id"), "type", F.coalesce("generation_created", F.lit(-1)).alias("g")).unionByName(packages.select(clean_id("id").alias("root_id"), F.lit("ext").alias("type"), F.lit(-2).alias("g")))
     types = types.join(roots, "root_id", "left_semi").groupBy("root_id").agg(F.max_by(F.coalesce("type", F.lit("")), F.struct("g", "type")).alias("root_type"))

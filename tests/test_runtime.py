@@ -12,9 +12,10 @@ from codeloom.operators import search as S
 def test_ranked(spark):
     rows = [(i, random.Random(i).randrange(50)) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, x int").repartition(7)
-    out = runtime.ranked(df, "place", F.desc("x"), F.col("id")).collect()
-    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
-    assert {r.id: r.place for r in out} == want
+    for one_task in (0, runtime.BROADCAST_ROWS):  # by ranges, and at once
+        out = runtime.ranked(df, "place", F.desc("x"), F.col("id"), one_task=one_task).collect()
+        want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+        assert {r.id: r.place for r in out} == want
     assert runtime.ranked(df.limit(0), "place", F.col("id")).count() == 0
 
 
